@@ -20,7 +20,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.knn(table(spark, d, "embedding_index"), "sentence_id", "embeddings", 5, QUERY_ROWS, probes=None, shortlist=128)
+    return vectors.knn(table(spark, d, "embedding_index"), "sentence_id", "embeddings", 5, QUERY_ROWS, probes=None, shortlist=128, n_books=16)
 
 
 def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
