@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm import vectors
+from quillstone.llm import neardup, splits, vectors
 from quillstone.sources.tables import table
 
 QUERY_ROWS = "id % 50 = 0"  # the stated query set of searches
@@ -34,8 +34,55 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return vectors.recall(_neighbors(spark, d), exact)
 
 
+def _splits(spark: SparkSession, d: str, parts: int = 1) -> splits.SplitTable:
+    t, train = splits.SplitTable(spark), table(spark, d, "train")
+    if parts == 1:
+        t.update(train)
+        return t
+    late = F.coalesce(F.col("created_at") >= F.lit("2025-01-01").cast("timestamp") + F.expr("INTERVAL 180 DAYS"), F.lit(True))
+    t.update(train.where(~late))
+    t.update(train.where(late))
+    return t
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of topics that must share a split."""
+    pairs = splits.tied_pairs(_splits(spark, d).topics)
+    return pairs.select(F.col("a").alias("topic_no_a"), F.col("b").alias("topic_no_b"))
+
+
+def p3_split(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every training query."""
+    return _splits(spark, d).assignments().select(F.col("id").alias("query_id"), "unit", "split")
+
+
+def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Units after a second delivery: kept, new and quarantined ones."""
+    return _splits(spark, d, 2).units
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and share of each split, by law and overall (null law: all)."""
+    t = _splits(spark, d)
+    rows = table(spark, d, "train").select(F.col("query_id").alias("id"), F.trim("consensus_law").alias("law")).join(t.assignments(), "id")
+    n = rows.groupBy("law", "split").count().withColumn("of", F.lit("law")).unionByName(rows.groupBy("split").count().select(F.lit(None).cast("string").alias("law"), "split", "count", F.lit("all").alias("of")))
+    w = Window.partitionBy("of", "law")
+    return n.select("of", "law", "split", F.col("count").alias("n_rows"), F.round(F.col("count") / F.sum("count").over(w), 6).alias("share"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of training queries whose texts are nearly the same."""
+    members, _, pairs = neardup.near_duplicates(table(spark, d, "train"), "query_id", "query_text", "0.7")
+    return neardup.duplicate_pairs(members, pairs).select(F.col("a").alias("query_id_a"), F.col("b").alias("query_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The class of texts with the same words of each training query, and the links of the class."""
+    return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "train"), "query_id", "query_text", "0.7")).withColumnRenamed("id", "query_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
