@@ -143,13 +143,11 @@ def similar_sets(classes: DataFrame, threshold: str = "0.7") -> DataFrame:
     sizes = materialize(posts.groupBy("key").count().where("count > 1"), "block-sizes")
     posts = posts.join(sizes, "key")  # a word of one set only makes no pair
     plain = posts.where(F.col("count") <= HOT).select("key", "cid", "n", "words", F.lit(1).alias("tiles"))
-    twice = posts.where((F.col("count") > HOT) & (F.col("n") > 1))
+    twice = posts.where((F.col("count") > HOT) & (F.col("n") > 1))  # a set of one word is similar only to itself
     other = F.explode(F.array_except(F.slice("words", F.lit(1), F.col("p") + 1), F.array("key")))
     twice = twice.withColumn("other", other).select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(2)).alias("key"), "cid", "n", "words").dropDuplicates(["key", "cid"])
-    single = posts.where((F.col("count") > HOT) & (F.col("n") == 1)).select("key", "cid", "n", "words", F.lit(1).alias("tiles"))
     both = twice.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     twice = twice.join(both, "key").select("key", "cid", "n", "words", F.ceil(F.col("m") / HOT).cast("int").alias("tiles"))
-    del single  # sets of one word are similar only to themselves
     rows = plain.unionByName(twice)
     own = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
