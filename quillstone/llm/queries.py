@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm import neardup, splits, vectors
+from quillstone.llm import crosssplit, neardup, splits, vectors
 from quillstone.sources.tables import table
 
 QUERY_ROWS = "id % 50 = 0"  # the stated query set of searches
@@ -81,8 +81,41 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "train"), "query_id", "query_text", "0.7")).withColumnRenamed("id", "query_id")
 
 
+def _across(spark: SparkSession, d: str):
+    return crosssplit.overlapping(table(spark, d, "test"), table(spark, d, "train"), "query_id", "query_text", "0.7")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a test and a training query with nearly the same text."""
+    e, t, pairs = _across(spark, d)
+    e, t = e.select(F.col("id").alias("test_query_id"), F.col("cid").alias("e")), t.select(F.col("id").alias("train_query_id"), F.col("cid").alias("t"))
+    return pairs.join(e, "e").join(t, "t").select("test_query_id", "train_query_id").distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of the test split, and those that training has exactly or almost, by topic and overall (null topic: none named)."""
+    e, t, pairs = _across(spark, d)
+    best = pairs.groupBy(F.col("e").alias("cid")).agg(F.max("similarity").alias("best"), F.count(F.lit(1)).alias("partners"))
+    hit = e.join(best, "cid").groupBy("id").agg(F.max("best").alias("best"))
+    rows = table(spark, d, "test").select(F.col("query_id").alias("id"), "topic_id").dropDuplicates().join(hit, "id", "left")
+    sums = [
+        F.count(F.lit(1)).alias("n_queries"),
+        F.count_if(F.col("best") == 1).alias("n_same_words"),
+        F.count_if(F.col("best") < 1).alias("n_almost"),
+        F.round(F.max("best"), 6).alias("max_similarity"),
+    ]
+    split = F.lit("test").alias("split")
+    every = rows.agg(*sums).select(split, F.lit("all").alias("of"), F.lit(None).cast("string").alias("topic_id"), "n_queries", "n_same_words", "n_almost", "max_similarity")
+    return rows.groupBy("topic_id").agg(*sums).select(split, F.lit("topic").alias("of"), "topic_id", "n_queries", "n_same_words", "n_almost", "max_similarity").unionByName(every)
+
+
+def p5_seen(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of each test query lie in runs of five or more words that training has."""
+    return crosssplit.seen_words(table(spark, d, "test"), table(spark, d, "train"), "query_id", "query_text", 5).withColumnRenamed("id", "query_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen}
 
 
 def oracle_sql() -> dict[str, str]:
