@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm import crosssplit, neardup, splits, vectors
+from quillstone.llm import crosssplit, neardup, residue, splits, vectors
 from quillstone.sources.tables import table
 
 QUERY_ROWS = "id % 50 = 0"  # the stated query set of searches
@@ -114,8 +114,25 @@ def p5_seen(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.seen_words(table(spark, d, "test"), table(spark, d, "train"), "query_id", "query_text", 5).withColumnRenamed("id", "query_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with template residue, filler, an error message or a script notice."""
+    return residue.residue(table(spark, d, "documents")).where("size(kinds) > 0").select(F.col("id").alias("doc_id"))
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay."""
+    return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "lang")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each kind of residue, by source as stored, and how much of them it covers."""
+    docs = table(spark, d, "documents")
+    marked = residue.residue(docs).where("size(kinds) > 0").select(F.col("id").alias("doc_id"), F.explode("kinds").alias("kind"), "coverage")
+    return docs.select("doc_id", "source").join(marked, "doc_id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
