@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm import crosssplit, neardup, residue, splits, vectors
+from quillstone.llm import crosssplit, mixing, neardup, packing, residue, splits, vectors
+from quillstone.llm.sizes import byte_tokens
 from quillstone.sources.tables import table
 
 QUERY_ROWS = "id % 50 = 0"  # the stated query set of searches
@@ -114,6 +115,53 @@ def p5_seen(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.seen_words(table(spark, d, "test"), table(spark, d, "train"), "query_id", "query_text", 5).withColumnRenamed("id", "query_id")
 
 
+CAPACITY = 4096
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of the parts of one that exceeds the capacity."""
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), byte_tokens(F.col("text")), "doc_id", CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be split."""
+    return p6_pack(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("doc_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.packing_report(p6_pack(spark, d), CAPACITY)
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.source_sizes(table(spark, d, "documents"), table(spark, d, "mix_targets"), byte_tokens(F.col("text")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that can't reach their weight."""
+    return mixing.out_of_reach(_sizes(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text"), _sizes(spark, d), byte_tokens(F.col("text")))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the mixture, a row for each copy."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Weights and actual shares of the sources."""
+    return mixing.mix_report(*_mix(spark, d))
+
+
+def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """The same for weights by temperature, as even as the targets where repetitions allow."""
+    docs, size = table(spark, d, "documents").select("doc_id", "source", "text"), byte_tokens(F.col("text"))
+    return mixing.mix_report(*mixing.mix(docs, mixing.temperature_targets(_sizes(spark, d)), size))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with template residue, filler, an error message or a script notice."""
     return residue.residue(table(spark, d, "documents")).where("size(kinds) > 0").select(F.col("id").alias("doc_id"))
@@ -132,8 +180,26 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sizes = """
+WITH t AS (SELECT lower(trim(source)) AS source, sum(weight) AS weight, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+     s AS (SELECT lower(trim(source)) AS source, sum(strlen(text)) AS size FROM documents GROUP BY 1),
+     z AS (SELECT t.source, weight, max_repeats, coalesce(size, 0) AS size FROM t LEFT JOIN s USING (source))"""
+    return {
+        "p3_found": TIED,
+        "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
+        "p7_found": sizes + " SELECT source FROM z WHERE size * max_repeats < weight * (SELECT sum(size) FROM z)",
+    }
+
+
+#: Topics tied through cells and query ids, followed by a recursive query.
+TIED = """
+WITH RECURSIVE cells AS (
+       SELECT query_id, list_distinct(list_transform(regexp_extract_all(topic_id, '\\p{L}[_\\- ][Tt]([0-9]+)', 1), lambda x: CAST(x AS BIGINT))) AS topics FROM train),
+     named AS (SELECT DISTINCT query_id, unnest(topics) AS topic FROM cells),
+     ties AS (SELECT DISTINCT x.topic AS a, y.topic AS b FROM named x JOIN named y USING (query_id) WHERE x.topic <> y.topic),
+     reach AS (SELECT a, b FROM ties UNION SELECT reach.a, ties.b FROM reach JOIN ties ON reach.b = ties.a)
+SELECT DISTINCT a AS topic_no_a, b AS topic_no_b FROM reach WHERE a < b"""
