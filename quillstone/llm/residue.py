@@ -171,7 +171,11 @@ FORM = re.compile(r"(form|format|muster|schreibweise|gestalt)\s+\W?$", re.IGNORE
 TAG = re.compile(r"</?(p|div|span|br|b|i|em|strong|h\d|li|ul|ol|td|tr|table|a|noscript|body|html|title|center|pre|code)\b[^<>]*>", re.IGNORECASE)
 MOJIBAKE = re.compile("[ÂÃâ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,2}")
 WORDS = re.compile(r"[^\W\d_]+")
-UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
+#: Umlauts as two letters, other accented letters without their accent, combining accents dropped.
+PLAIN = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<")}
+PLAIN |= dict.fromkeys(range(0x300, 0x370)) | str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
+DEHYPHEN = re.compile(r"(?<=[a-z])-[^\S\n]*\n\s*(?=[a-z])")
+NUMBER = re.compile(r"\d+")
 
 
 def _undo(m: re.Match) -> str:
@@ -197,10 +201,11 @@ def level(text: str) -> tuple[str, list[int]]:
     """Lower-cased text with single spaces, and the positions of line breaks in it."""
     if "<" in text:
         text = TAG.sub("\n", text)
-    text = text.lower().translate(UMLAUTS)
+    text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    text = re.sub(r"(?<=[a-z])-[^\S\n]*\n\s*(?=[a-z])", "", text)
+        text = text.translate(PLAIN)
+    if "-" in text and "\n" in text:
+        text = DEHYPHEN.sub("", text)
     out, breaks, size = [], [], 0
     for line in text.split("\n"):
         words = line.split()
@@ -227,6 +232,10 @@ class ResidueDetector:
             for p in phrases:
                 self.phrases.add_word(p, (kind, p))
         self.phrases.make_automaton()
+        self.hints = ahocorasick.Automaton()  # a run of filler has at least one of these
+        for w in [*REPEATED, "xxx", *(w for w in LOREM if len(w) > 4)]:
+            self.hints.add_word(w, len(w))
+        self.hints.make_automaton()
         self.openers = ahocorasick.Automaton()
         for o in MARKUP:
             self.openers.add_word(o, o)
@@ -262,14 +271,14 @@ class ResidueDetector:
         return False
 
     def _notices(self, flat: str, breaks: list[int], kinds: set[str]) -> list[tuple[int, int]]:
-        numbers = re.sub(r"\d+", lambda m: "9" + "\0" * (len(m.group()) - 1), flat) if any(c.isdigit() for c in flat) else flat
-        if "\0" in numbers:  # phrases have one digit for a number of any length; keep a map of positions
-            at = [i for i, c in enumerate(numbers) if c != "\0"]
-            short = numbers.replace("\0", "")
-        else:
-            at, short = None, numbers
+        numbers = NUMBER.sub(lambda m: "9" + "\0" * (m.end() - m.start() - 1), flat)
+        short = numbers.replace("\0", "")  # phrases have one digit for a number of any length
+        found = list(self.phrases.iter(short))
+        if not found:
+            return []
+        at = [i for i, c in enumerate(numbers) if c != "\0"] if len(short) < len(numbers) else None
         hits = []
-        for end, (kind, p) in self.phrases.iter(short):
+        for end, (kind, p) in found:
             s, e = end - len(p) + 1, end + 1
             if (s and short[s - 1].isalnum() and p[0].isalnum()) or (e < len(short) and short[e].isalnum() and p[-1].isalnum()):
                 continue
@@ -300,6 +309,12 @@ class ResidueDetector:
         return spans
 
     def _fillers(self, flat: str, kinds: set[str]) -> list[tuple[int, int]]:
+        for end, n in self.hints.iter(flat):
+            if end < n or not flat[end - n].isalpha() or flat[end - n] == "x":
+                if end + 1 == len(flat) or not flat[end + 1].isalpha() or flat[end] == "x":
+                    break
+        else:
+            return []
         spans, run, begin, sort, last = [], 0, 0, "", 0
         for m in WORDS.finditer(flat):
             w = m.group()
