@@ -198,7 +198,7 @@ WITH t AS (SELECT lower(trim(source)) AS source, sum(weight) AS weight, max(max_
 #: Topics tied through cells and query ids, followed by a recursive query.
 TIED = """
 WITH RECURSIVE cells AS (
-       SELECT query_id, list_distinct(list_transform(regexp_extract_all(topic_id, '\\p{L}[_\\- ][Tt]([0-9]+)', 1), lambda x: CAST(x AS BIGINT))) AS topics FROM train),
+       SELECT query_id, list_distinct(list_transform(regexp_extract_all(topic_id, '[\\p{L}\\p{N}][_\\- ][Tt]([0-9]+)', 1), lambda x: CAST(x AS BIGINT))) AS topics FROM train),
      named AS (SELECT DISTINCT query_id, unnest(topics) AS topic FROM cells),
      ties AS (SELECT DISTINCT x.topic AS a, y.topic AS b FROM named x JOIN named y USING (query_id) WHERE x.topic <> y.topic),
      reach AS (SELECT a, b FROM ties UNION SELECT reach.a, ties.b FROM reach JOIN ties ON reach.b = ties.a)

@@ -203,7 +203,9 @@ def level(text: str) -> tuple[str, list[int]]:
         text = TAG.sub("\n", text)
     text = text.lower()
     if not text.isascii():
-        text = text.translate(PLAIN)
+        for c in set(text):
+            if c > "\x7f" and ord(c) in PLAIN:
+                text = text.replace(c, PLAIN[ord(c)] or "")
     if "-" in text and "\n" in text:
         text = DEHYPHEN.sub("", text)
     out, breaks, size = [], [], 0

@@ -22,7 +22,7 @@ from quillstone.session import discard, materialize
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 QUARANTINE = "quarantine"
-TOPIC = r"\p{L}[_\- ][Tt](\d+)(?![\p{L}\p{N}])"  # label, separator, T, number
+TOPIC = r"[\p{L}\p{N}][_\- ][Tt](\d+)(?![\p{L}\p{N}])"  # label, separator, T, number
 BUCKET_UNITS = 1000
 STATE = "unit string, split string, stratum string, n_rows long, delivery int"
 
