@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import words as W
 from quillstone.llm.fmindex import FMIndex, spread
-from quillstone.session import materialize
+from quillstone.session import materialize, tasks
 
 SHARD_SETS = 32768
 STREAM_ROWS = 32768
@@ -35,15 +35,17 @@ BATCH_VISITS = 1 << 22
 def _shards(texts: DataFrame, stream: DataFrame, build) -> tuple[DataFrame, int, int]:
     """Index rows (shard, part, blob), a copy for each part of the stream, and the numbers of shards and parts."""
     n, m = texts.count(), stream.count()
-    shards, parts = max(1, math.ceil(n / SHARD_SETS)), max(1, math.ceil(m / STREAM_ROWS))
+    shards = max(1, math.ceil(n / SHARD_SETS))
+    parts = max(1, math.ceil(m / STREAM_ROWS), min(tasks(texts.sparkSession) // shards, m // 4096))
     built = texts.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
     built = materialize(built, "fm-index")
-    return built.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), shards, parts
+    built = built.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(2 * shards * parts, "shard", "part")
+    return built, shards, parts
 
 
 def _spread_stream(stream: DataFrame, shards: int, parts: int) -> DataFrame:
     s = stream.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int"))
-    return s.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return s.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(2 * shards * parts, "shard", "part")
 
 
 def guaranteed_run(n: int, t: Fraction) -> int:
