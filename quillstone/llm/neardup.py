@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import words as W
-from quillstone.session import materialize
+from quillstone.session import materialize, tasks
 
 SLOTS = 256
 HOT = 4096  # sets in a block before it is keyed by two words, or cut into tiles
@@ -152,7 +152,8 @@ def similar_sets(classes: DataFrame, threshold: str = "0.7") -> DataFrame:
     own = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("own", "with").alias("ti"), F.greatest("own", "with").alias("tj"), "own", "cid", "n", "words")
-    rows = rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "n", "cid")
+    n_rows = sizes.agg(F.sum("count")).first()[0] or 0
+    rows = rows.repartition(max(tasks(spark), n_rows // (4 * CHUNK)), "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "n", "cid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
