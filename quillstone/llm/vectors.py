@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import materialize
+from quillstone.session import materialize, tasks
 
 SHARD_ROWS = 4096
 
@@ -161,7 +161,7 @@ def knn(
         return spark.createDataFrame([], schema)
 
     part = max(1, math.ceil(n / sample_rows))
-    rows = reps.where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(part)) == 0).select("vec").toPandas()  # about sample_rows rows
+    rows = reps.where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(part)) == 0).select("rid", "vec").toPandas().sort_values("rid")  # about sample_rows rows
     x = np.stack(rows["vec"].to_numpy()).astype(np.float64) if len(rows) else np.eye(1, dim or 1)
     if not len(rows):
         x = np.array([reps.first()["vec"]], np.float64)
@@ -194,7 +194,7 @@ def knn(
                     }
                 )
 
-    coded = reps.select("rid", "vec").mapInPandas(encode, "rid long, unit binary, codes binary, norm float, cell long, probed array<long>")
+    coded = reps.select("rid", "vec").repartition(max(tasks(spark), n // 16384), "rid").mapInPandas(encode, "rid long, unit binary, codes binary, norm float, cell long, probed array<long>")
     coded = materialize(coded, "vector-codes")
 
     # cells beyond SHARD_ROWS members are cut into blocks; how many, is known for each cell (bounded by the codebooks)
@@ -250,6 +250,8 @@ def knn(
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         return _search_shard(pdf, shared.value, k, shortlist, low, everywhere)
 
+    parts = n_shards * q_blocks + at
+    routed = routed.repartition(max(min(parts, tasks(spark)), parts // 4), "shard")  # work, not bytes, decides
     near = routed.groupBy("shard").applyInPandas(search, "query_rid long, rid long, similarity double")
     near = near.groupBy("query_rid", "rid").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query_rid").orderBy(F.desc("similarity"), "rid")
