@@ -67,6 +67,7 @@ PDF_LINKS = (
 
 # --------------------------------------------------------------------------------------------
 
+WORD = r"[\p{L}\p{N}_]"  # a word character: any letter or number, and the underscore
 DOT = "∯"  # stands for the dot of an abbreviation
 CUT = "\u0001"  # marks a place to split
 
@@ -193,7 +194,7 @@ def is_meaningful(c: Column, min_chars: int = 10, min_words: int = 1, max_digit_
 
 def token_count(c: Column) -> Column:
     """Maximal runs of word characters; 0 for null."""
-    return F.coalesce(F.regexp_count(c, F.lit(r"(?U)\w+")), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(f"{WORD}+")), F.lit(0))
 
 
 def line_key(line: Column) -> Column:
@@ -256,7 +257,7 @@ def query_parameter(url: Column, *names: str) -> Column:
 
 def label_pattern(label: Column) -> Column:
     """A pattern that finds the label in any case, not within a longer word."""
-    return F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(label, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return F.concat(F.lit(rf"(?iU)(?<!{WORD})\Q"), F.replace(label, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{WORD})"))
 
 
 def stable_hash(c: Column) -> Column:

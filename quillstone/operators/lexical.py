@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import lexical
+from quillstone.functions.text import WORD, lexical
 from quillstone.session import materialize
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, number_mode: str = "replace") -> DataFrame:
     """(doc_id, term, tf) of the preprocessed text's words."""
-    words = F.regexp_extract_all(lexical(F.col(text_col), number_mode), F.lit(r"(?U)\w+"), F.lit(0))
+    words = F.regexp_extract_all(lexical(F.col(text_col), number_mode), F.lit(f"{WORD}+"), F.lit(0))
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

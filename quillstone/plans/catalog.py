@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import retrieval_queries, skew_queries
+from quillstone.plans import retrieval_queries, skew_queries, text_queries
 
-MODULES = (skew_queries, retrieval_queries)
+MODULES = (skew_queries, retrieval_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
