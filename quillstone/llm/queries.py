@@ -188,13 +188,30 @@ def oracle_sql() -> dict[str, str]:
 WITH t AS (SELECT lower(trim(source)) AS source, sum(weight) AS weight, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
      s AS (SELECT lower(trim(source)) AS source, sum(strlen(text)) AS size FROM documents GROUP BY 1),
      z AS (SELECT t.source, weight, max_repeats, coalesce(size, 0) AS size FROM t LEFT JOIN s USING (source))"""
+    words = "SELECT DISTINCT query_id, list_sort(list_distinct(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM {0} WHERE query_text IS NOT NULL"
+    near = """
+WITH a AS (SELECT * FROM ({0}) WHERE len(w) > 0), b AS (SELECT * FROM ({1}) WHERE len(w) > 0),
+     p AS (SELECT x.query_id AS qa, x.w AS wa, y.query_id AS qb, y.w AS wb, count(*) AS n
+           FROM (SELECT query_id, w, unnest(w) AS t FROM a) x JOIN (SELECT query_id, w, unnest(w) AS t FROM b) y ON x.t = y.t AND {2} GROUP BY ALL)
+SELECT DISTINCT qa AS {3}, qb AS {4} FROM p WHERE n * 10 >= 7 * (len(wa) + len(wb) - n)"""
     return {
+        "p2_found": NEAREST,
+        "p4_found": near.format(words.format("train"), words.format("train"), "x.query_id < y.query_id", "query_id_a", "query_id_b"),
+        "p5_found": near.format(words.format("test"), words.format("train"), "true", "test_query_id", "train_query_id"),
         "p3_found": TIED,
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
         "p7_found": sizes + " SELECT source FROM z WHERE size * max_repeats < weight * (SELECT sum(size) FROM z)",
     }
 
 
+#: The 5 nearest of each vector by brute force.
+NEAREST = """
+WITH v AS (SELECT sentence_id, list_transform(embeddings, lambda x: CAST(x AS DOUBLE)) AS e FROM embedding_index WHERE embeddings IS NOT NULL),
+     u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+     s AS (SELECT a.sentence_id AS q, b.sentence_id AS c, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM u a JOIN u b ON a.sentence_id <> b.sentence_id),
+     t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, c) <= 5)
+SELECT DISTINCT least(q, c) AS sentence_id_a, greatest(q, c) AS sentence_id_b FROM t WHERE s >= 0.8"""
+
 #: Topics tied through cells and query ids, followed by a recursive query.
 TIED = """
 WITH RECURSIVE cells AS (
