@@ -161,6 +161,7 @@ ORACLE = {
     "a10_subset": "SELECT vec_id AS unit_id, CAST(len(embedding) AS INTEGER) AS d FROM embeddings WHERE label = 3",
     "a11_queries": "SELECT query_id, consensus_law FROM test WHERE trim(query_id) <> '' AND trim(query_text) <> '' AND trim(consensus_law) <> ''",
     "a14_fingerprints": r"SELECT sentence_id AS id, sha256(sentence_id || chr(0) || coalesce(sentence, '') || chr(10)) AS digest FROM ris_sentences",
+    "a14_fingerprint": "WITH r AS (SELECT sentence_id AS id, sha256(sentence_id || chr(0) || coalesce(sentence, '') || chr(10)) AS digest FROM ris_sentences), b AS (SELECT substr(digest, 1, 2) AS bucket, sha256(string_agg(digest, '' ORDER BY id)) AS d, count(*) AS n FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY bucket)) AS fingerprint FROM b",
     "a19_report": "WITH t AS (SELECT law, bool_or(ok) AS ok, count(*) AS tries, max(pdf_url) AS u FROM download_report WHERE law IS NOT NULL GROUP BY 1) SELECT CASE WHEN NOT coalesce(ok, false) THEN 'failed' WHEN u IS NULL THEN 'skipped' ELSE 'fetched' END AS state, count(*) AS laws, CAST(sum(tries) AS BIGINT) AS tries FROM t GROUP BY 1",
     "r1_pricing": f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({_NET}), 2) AS sum_disc, round(sum({_NET} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "r3_open_orders": f"SELECT l_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, round(sum({_NET}), 2) AS revenue FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2 ORDER BY revenue DESC, l_orderkey LIMIT 10",

@@ -262,13 +262,13 @@ def i5_style_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i6_sample(spark: SparkSession, d: str) -> DataFrame:
-    pool = table(spark, d, "train").where("consensus_law IS NOT NULL").select("query_id", "query_text", F.col("consensus_law").alias("label")).dropDuplicates(["query_id"])
+    pool = table(spark, d, "train").where("consensus_law IS NOT NULL").groupBy("query_id").agg(F.min("query_text").alias("query_text"), F.min("consensus_law").alias("label"))
     return S.stratified_sample(pool, S.target_counts(pool, 300), ["label"], 19).select("query_id", "label")
 
 
 def i7_split(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of splits in the three modes."""
-    pool = table(spark, d, "train").where("consensus_law IS NOT NULL AND topic_id IS NOT NULL").select("query_id", "query_text", "topic_id", F.col("consensus_law").alias("label")).dropDuplicates(["query_id"])
+    pool = table(spark, d, "train").where("consensus_law IS NOT NULL AND topic_id IS NOT NULL").groupBy("query_id").agg(F.min("query_text").alias("query_text"), F.min("topic_id").alias("topic_id"), F.min("consensus_law").alias("label"))
     out = None
     for mode in ("iid", "iid_unrestricted", "topic_disjoint"):
         t = S.split_train_test(pool, S.target_counts(pool, 400), S.target_counts(pool, 100), ["label"], 19, mode)
@@ -364,6 +364,33 @@ ORACLE = {
     "i5_targets": "WITH u AS (SELECT DISTINCT consensus_law AS label FROM train WHERE consensus_law IS NOT NULL), r AS (SELECT label, row_number() OVER (ORDER BY label) AS r, count(*) OVER () AS m FROM u) SELECT label, 1000 // m + CAST(r <= 1000 % m AS BIGINT) AS target FROM r",
     "i8_terms": "SELECT DISTINCT query_id, array_to_string(list_filter(CASE WHEN issue IS NULL THEN [style] ELSE list_transform(list_filter(list_zip(string_split(issue, ' ') || [style], range(1, 100)), lambda x: x[1] IS NOT NULL AND list_position(string_split(issue, ' ') || [style], x[1]) = x[2]), lambda x: x[1]) END, lambda x: x IS NOT NULL), '|') AS terms FROM train",
     "i9_counts": "SELECT consensus_law, style, count(*) AS n FROM train GROUP BY ALL",
-    "i6_sample": "WITH p AS (SELECT DISTINCT query_id, query_text, consensus_law AS label FROM train WHERE consensus_law IS NOT NULL) SELECT 1",
+    "a2_links": "WITH t AS (SELECT law, whole_law_url, replace(whole_law_url, '/norm/', '/norm?x=1&id=') AS w, replace(pdf_url, '/norm/', '/norm?x=1&id=') AS p FROM download_report WHERE whole_law_url IS NOT NULL) SELECT law, whole_law_url, w AS complete, p AS pdf FROM t",
+    "a7_corpus": "WITH k AS (SELECT s.*, row_number() OVER (PARTITION BY source_file, sentence ORDER BY sentence_id) AS r FROM ris_sentences s JOIN " + _meaningful(25, 3, 0.85) + rf""" m USING (sentence_id) WHERE m.keep AND source_file IS NOT NULL AND NOT regexp_matches({_strip('sentence')}, '^(Seite{_S}+\d+({_S}+von{_S}+\d+)?|www\.ris\.bka\.gv\.at|RIS)$', 'i'))
+SELECT row_number() OVER (ORDER BY source_file, sentence_id) AS unit_id, regexp_replace(source_file, '\.[^.]*$', '') AS label, page, sentence AS text, source_file FROM k WHERE r = 1""",
+    "h2_char_ngrams": "WITH w AS (SELECT query_id, ' ' || unnest(list_filter(string_split(" + _lexical_sql("query_text", r" num\1 ") + ", ' '), lambda x: x <> '')) || ' ' AS w FROM test WHERE query_text IS NOT NULL), g AS (SELECT query_id, substr(w, i, n) AS term FROM w, range(3, 7) t(n), range(1, 1000) u(i) WHERE (length(w) >= n OR n = 3) AND i <= greatest(length(w) - n + 1, 1)) SELECT term, count(DISTINCT query_id) AS df, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 100",
+    "h3_union": "WITH q AS (SELECT query_id, " + _lexical_sql("query_text", r" num\1 ") + rf" AS s FROM test WHERE query_text IS NOT NULL), n AS (SELECT count(*) AS n FROM q), t AS (SELECT 0 AS b, 1.0::DOUBLE AS weight, query_id, unnest(regexp_extract_all(s, '{_W}+')) AS term FROM q UNION ALL SELECT 1, 0.9, query_id, substr(w, i, 3) FROM (SELECT query_id, ' ' || unnest(list_filter(string_split(s, ' '), lambda x: x <> '')) || ' ' AS w FROM q), range(1, 1000) u(i) WHERE i <= greatest(length(w) - 2, 1)), c AS (SELECT b, weight, query_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT b, term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT b, query_id, weight, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (b, term)), u AS (SELECT query_id, weight * w / sqrt(sum(w * w) OVER (PARTITION BY b, query_id)) AS w FROM w) SELECT query_id, count(*) AS n, round(sum(w * w), 5) AS square FROM u GROUP BY 1",
+    "i2_expansion": "WITH laws AS (SELECT DISTINCT law AS spec FROM download_report WHERE law IS NOT NULL), kinds AS (SELECT unnest(['Frist', 'Gebühr']) AS kind), t AS (SELECT spec, kind || ' bei ' || act AS text FROM (SELECT DISTINCT spec, unnest([spec, 'Antrag', 'Bescheid']) AS act FROM laws), kinds UNION SELECT spec, 'Wer zahlt ' || kind || '?' FROM laws, kinds UNION SELECT spec, 'Allgemeines' FROM laws) SELECT spec, text FROM t QUALIFY row_number() OVER (PARTITION BY spec ORDER BY md5('19|' || text), text) <= 5",
+    "i5_style_targets": "WITH u AS (SELECT DISTINCT consensus_law AS label FROM train WHERE consensus_law IS NOT NULL), r AS (SELECT label, row_number() OVER (ORDER BY label) AS r, count(*) OVER () AS m FROM u), t AS (SELECT label, 1000 // m + CAST(r <= 1000 % m AS BIGINT) AS target FROM r), s AS (SELECT label, target, style, row_number() OVER (PARTITION BY label ORDER BY md5('19|' || label || '|' || style)) AS r FROM t, (SELECT unnest([" + ", ".join(f"'{x}'" for x in STYLES) + f"]) AS style)) SELECT label, style, target // {len(STYLES)} + CAST(r <= target % {len(STYLES)} AS BIGINT) AS target FROM s",
 }
-del ORACLE["i6_sample"]
+
+_POOL = "pool AS (SELECT query_id, min(query_text) AS query_text, {0} min(consensus_law) AS label FROM train WHERE consensus_law IS NOT NULL {1} GROUP BY 1), labels AS (SELECT label, row_number() OVER (ORDER BY label) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT label FROM pool))"
+
+
+def _sample_sql(name: str, pool: str, total: int, seed: int, forbid: str = "SELECT NULL WHERE false") -> str:
+    """CTEs of a stratified sample: the first row of each text in hash order, then the first of each label."""
+    return f""", {name}_f AS (SELECT *, md5('{seed}|' || query_id) AS key FROM {pool} WHERE query_text IS NOT NULL AND query_text NOT IN ({forbid})),
+{name}_o AS (SELECT * FROM {name}_f QUALIFY row_number() OVER (PARTITION BY query_text ORDER BY key, query_id) = 1),
+{name} AS (SELECT o.* FROM {name}_o o JOIN labels USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY key, query_id) <= {total} // m + CAST(r <= {total} % m AS BIGINT))"""
+
+
+def _split_sql() -> str:
+    test = {"iid": "SELECT p.* FROM pool p WHERE (label, topic_id) IN (SELECT label, topic_id FROM a)", "iid_unrestricted": "SELECT * FROM pool", "topic_disjoint": "SELECT * FROM pool WHERE topic_id NOT IN (SELECT topic_id FROM a)"}
+    sql = "WITH " + _POOL.format("min(topic_id) AS topic_id,", "AND topic_id IS NOT NULL") + _sample_sql("a", "pool", 400, 19)
+    for i, (mode, rest) in enumerate(test.items()):
+        sql += f", rest{i} AS ({rest})" + _sample_sql(f"b{i}", f"rest{i}", 100, 120, "SELECT query_text FROM a")
+    count = "SELECT '{1}' AS split, count(*) AS n, count(DISTINCT query_text) AS texts, count(DISTINCT topic_id) AS topics, '{2}' AS mode FROM {0} HAVING count(*) > 0"
+    return sql + " " + " UNION ALL ".join(count.format(t, s, mode) for i, mode in enumerate(test) for t, s in (("a", "train"), (f"b{i}", "test")))
+
+
+ORACLE["i6_sample"] = "WITH " + _POOL.format("", "") + _sample_sql("a", "pool", 300, 19) + " SELECT query_id, label FROM a"
+ORACLE["i7_split"] = _split_sql()
