@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import words as W
 from quillstone.llm.fmindex import FMIndex, spread
+from quillstone.llm.neardup import sketches
 from quillstone.session import materialize, tasks
 
 SHARD_SETS = 32768
@@ -112,6 +113,7 @@ def _search_sets(fm: FMIndex, cid: np.ndarray, starts: np.ndarray, flat: np.ndar
     use_lo, use_hi = np.where(by_run[row], rlo, lo), np.where(by_run[row], rhi, np.where(anchor, hi, lo))
     wanted = np.where(by_run, 1, share)
     size = np.diff(starts)
+    tsketch, esketch = (np.packbits(sketches(a, b), axis=1).view(np.uint64) for a, b in ((tflat, tstarts), (flat, starts)))
     out_e, out_t, out_s = [], [], []
     visits = np.cumsum(np.bincount(row, use_hi - use_lo, minlength=len(n))) if len(n) else np.zeros(0)
     cut = np.searchsorted(visits, np.arange(BATCH_VISITS, (visits[-1] if len(visits) else 0) + BATCH_VISITS, BATCH_VISITS))
@@ -125,6 +127,10 @@ def _search_sets(fm: FMIndex, cid: np.ndarray, starts: np.ndarray, flat: np.ndar
         r, e = key // len(cid), key % len(cid)
         ok = (count >= wanted[r]) & (size[e] * t.denominator >= n[r] * t.numerator) & (size[e] * t.numerator <= n[r] * t.denominator)
         r, e = r[ok], e[ok]
+        # sketches farther apart than the sets may be need no exact check
+        far = np.bitwise_count(tsketch[r] ^ esketch[e]).sum(1, dtype=np.int64)
+        ok = far * (t.denominator + t.numerator) <= (n[r] + size[e]) * (t.denominator - t.numerator)
+        r, e = r[ok], e[ok]
         both = W.overlaps(tflat, tstarts, r, e, flat, starts)
         either = n[r] + size[e] - both
         ok = both * t.denominator >= either * t.numerator
