@@ -112,7 +112,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_seen(spark: SparkSession, d: str) -> DataFrame:
     """How many words of each test query lie in runs of five or more words that training has."""
-    return crosssplit.seen_words(table(spark, d, "test"), table(spark, d, "train"), "query_id", "query_text", 5).withColumnRenamed("id", "query_id")
+    return crosssplit.seen_words(table(spark, d, "test"), table(spark, d, "train"), "query_id", "query_text", 5).select(F.col("id").alias("query_id"), "n_words", "seen")
 
 
 CAPACITY = 4096
@@ -194,7 +194,27 @@ WITH a AS (SELECT * FROM ({0}) WHERE len(w) > 0), b AS (SELECT * FROM ({1}) WHER
      p AS (SELECT x.query_id AS qa, x.w AS wa, y.query_id AS qb, y.w AS wb, count(*) AS n
            FROM (SELECT query_id, w, unnest(w) AS t FROM a) x JOIN (SELECT query_id, w, unnest(w) AS t FROM b) y ON x.t = y.t AND {2} GROUP BY ALL)
 SELECT DISTINCT qa AS {3}, qb AS {4} FROM p WHERE n * 10 >= 7 * (len(wa) + len(wb) - n)"""
+    links = near.replace("SELECT DISTINCT qa AS {3}, qb AS {4} FROM p WHERE n * 10", "{3} FROM p WHERE n * 10")
+    groups = f"""
+WITH a AS (SELECT * FROM ({words.format("train")}) WHERE len(w) > 0), c AS (SELECT w, min(query_id) AS class_id, count(*) AS copies FROM a GROUP BY 1),
+     p AS (SELECT x.w AS wa, y.w AS wb, count(*) AS n FROM (SELECT w, unnest(w) AS t FROM c) x JOIN (SELECT w, unnest(w) AS t FROM c) y ON x.t = y.t AND x.w <> y.w GROUP BY ALL),
+     l AS (SELECT wa AS w, count(*) AS links FROM p WHERE n * 10 >= 7 * (len(wa) + len(wb) - n) GROUP BY 1)
+SELECT query_id, class_id, copies, coalesce(links, 0) AS links FROM a JOIN c USING (w) LEFT JOIN l USING (w)"""
+    best = links.format(words.format("test"), words.format("train"), "true", "SELECT qa AS query_id, max(n / (len(wa) + len(wb) - n)) AS best") + " GROUP BY 1"
+    report = f"""
+WITH b AS ({best}), r AS (SELECT DISTINCT query_id, topic_id FROM test), j AS (SELECT r.*, best FROM r LEFT JOIN b USING (query_id))
+SELECT 'test' AS split, CASE WHEN grouping(topic_id) = 1 THEN 'all' ELSE 'topic' END AS "of", topic_id, count(*) AS n_queries, count(*) FILTER (best = 1) AS n_same_words, count(*) FILTER (best < 1) AS n_almost, round(max(best), 6) AS max_similarity
+FROM j GROUP BY GROUPING SETS ((topic_id), ())"""
+    seen = """
+WITH e AS (SELECT query_id, regexp_extract_all(lower(min(query_text)), '[\\p{L}\\p{N}]+') AS w FROM test WHERE query_text IS NOT NULL GROUP BY 1),
+     t AS (SELECT DISTINCT regexp_extract_all(lower(query_text), '[\\p{L}\\p{N}]+') AS w FROM train WHERE query_text IS NOT NULL),
+     g AS (SELECT DISTINCT w[i:i + 4] AS s FROM t, range(1, 2000) r(i) WHERE i + 4 <= len(w)),
+     m AS (SELECT DISTINCT query_id, i + k AS pos FROM e, range(1, 2000) r(i), range(0, 5) u(k) WHERE i + 4 <= len(w) AND w[i:i + 4] IN (SELECT s FROM g))
+SELECT query_id, CAST(len(any_value(w)) AS INTEGER) AS n_words, CAST(count(pos) AS INTEGER) AS seen FROM e LEFT JOIN m USING (query_id) WHERE len(w) > 0 GROUP BY 1"""
     return {
+        "p4_groups": groups,
+        "p5_report": report,
+        "p5_seen": seen,
         "p2_found": NEAREST,
         "p4_found": near.format(words.format("train"), words.format("train"), "x.query_id < y.query_id", "query_id_a", "query_id_b"),
         "p5_found": near.format(words.format("test"), words.format("train"), "true", "test_query_id", "train_query_id"),
