@@ -134,7 +134,7 @@ def knn(
     k: int = 5,
     query_filter: str | None = None,
     min_similarity: float = -1.0,
-    probes: int | None = 8,
+    probes: int | None = 24,
     shortlist: int = 32,
     n_books: int = 6,
     book_size: int = 256,
