@@ -51,12 +51,10 @@ def _spread_stream(stream: DataFrame, shards: int, parts: int) -> DataFrame:
 
 def guaranteed_run(n: int, t: Fraction) -> int:
     """The least length of the longest common run of a set of n words, in any fixed order, with a set of similarity t."""
-    least = n
-    for b in range(-(-n * t.numerator // t.denominator), n * t.denominator // t.numerator + 1):
-        o = -(-(n + b) * t.numerator // (t.denominator + t.numerator))
-        if o <= min(n, b):
-            least = min(least, -(-o // (n + b - 2 * o + 1)))
-    return max(1, least)
+    b = np.arange(-(-n * t.numerator // t.denominator), n * t.denominator // t.numerator + 1, dtype=np.int64)  # sizes of the other set
+    both = -(-(n + b) * t.numerator // (t.denominator + t.numerator))
+    runs = -(-both // (n + b - 2 * both + 1))
+    return max(1, int(runs[both <= np.minimum(n, b)].min(initial=n)))
 
 
 def similar_across(evaluation: DataFrame, training: DataFrame, threshold: str = "0.7") -> DataFrame:
@@ -99,7 +97,8 @@ def _search_sets(fm: FMIndex, cid: np.ndarray, starts: np.ndarray, flat: np.ndar
     anchor = pos < (n - need + share)[row]
     cost = np.bincount(row, (hi - lo) * anchor, minlength=len(n))
     # the runs: backward search over as many words as one run must have
-    runs = np.array([guaranteed_run(int(x), t) for x in range(int(n.max(initial=0)) + 1)])[n]
+    sizes, which_size = np.unique(n, return_inverse=True)
+    runs = np.array([guaranteed_run(int(x), t) for x in sizes], np.int64)[which_size]
     rlo, rhi, depth = lo.copy(), hi.copy(), 1
     live = np.flatnonzero((hi > lo) & (runs > 1)[row])
     while len(live):

@@ -168,6 +168,16 @@ def test_cross_split_with_few_words(spark):
     assert across(spark, test, train) == brute(test, train)
 
 
+def test_cross_split_with_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [f"x{i}" for i in range(6000)]
+    edited = [w for w in long if rng.random() > 0.1] + [f"y{i}" for i in range(200)]
+    test, train = [("ta", " ".join(long)), ("tb", "kurz")], [("a", " ".join(edited)), ("b", " ".join(f"z{i}" for i in range(4000))), ("c", "kurz")]
+    assert across(spark, test, train) == {("ta", "a"), ("tb", "c")}
+    got = {r["id"]: r["seen"] for r in crosssplit.seen_words(frame(spark, test), frame(spark, train), "query_id", "query_text").collect()}
+    assert 3000 < got["ta"] < 6000 and got["tb"] == 0
+
+
 def test_cross_split_empty_sides(spark):
     some = texts(5)
     assert across(spark, [], some) == set() == across(spark, some, []) == across(spark, [], [])
