@@ -101,9 +101,9 @@ def excerpt(text: Column, most: int) -> Column:
 def prompts(ranked: DataFrame, queries: DataFrame, units: DataFrame, most_chars: int = 600, language: str = "Deutsch") -> DataFrame:
     """(query_id, query_text, prompt, unit_ids, scores): ranked excerpts below the question.
 
-    Units without metadata are dropped, the order of the ranks is kept.
+    Units without metadata or text are dropped, the order of the ranks is kept.
     """
-    t = ranked.join(units.select("unit_id", "label", "text"), "unit_id")
+    t = ranked.join(units.where("text IS NOT NULL").select("unit_id", "label", "text"), "unit_id")
     t = t.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "score", "label", "text"))).alias("hits"))
     lines = F.transform("hits", lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), F.coalesce(h["label"].cast("string"), F.lit("?")), F.lit(") "), excerpt(h["text"], most_chars)))
     head = F.concat(F.lit(f"Antworte auf {language} und nur aus den Fundstellen.\nFrage: "), F.col("query_text"), F.lit("\n"))
