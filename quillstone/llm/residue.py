@@ -167,6 +167,7 @@ MARKUP = {
 }
 MARKUP_RE = {k: re.compile(v) for k, v in MARKUP.items()}
 QUOTES = "„“”\"‚‘’'‹›"
+QUOTED = set(QUOTES + "«»")
 FORM = re.compile(r"(form|format|muster|schreibweise|gestalt)\s+\W?$", re.IGNORECASE)
 TAG = re.compile(r"</?(p|div|span|br|b|i|em|strong|h\d|li|ul|ol|td|tr|table|a|noscript|body|html|title|center|pre|code)\b[^<>]*>", re.IGNORECASE)
 MOJIBAKE = re.compile("[ÂÃâ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,2}")
@@ -298,7 +299,8 @@ class ResidueDetector:
                 continue
             if p in WEAK:
                 continue
-            for cuts in (ends, bounds):
+            quoted = flat[:s].rstrip()[-1:] in QUOTED and flat[e:].lstrip()[:1] in QUOTED
+            for cuts in (ends,) if quoted else (ends, bounds):  # a quoted phrase may fill a line of a sentence about it
                 i = bisect.bisect_right(cuts, s)
                 lo = cuts[i - 1] if i else 0
                 j = bisect.bisect_left(cuts, e)

@@ -55,6 +55,7 @@ TALK = [
     "Daten sind in der Form TT.MM.JJJJ anzugeben, etwa 24.07.2025.",
     "Die Mengen {329, 332} und [329; 338] bezeichnen die Pegelstände [...] der Anlage.",
     "Erscheint beim Abruf des Registers die Meldung „Seite nicht gefunden“, so gilt die Erweiterung als nicht kundgemacht.",
+    "Erscheint beim Abruf die Meldung\n„Seite nicht gefunden“,\nso gilt die Erweiterung als nicht kundgemacht.",
     "Ein interner Serverfehler beim Zustelldienst hemmt die Frist der Versicherung nicht.",
     "Le message « page introuvable » ne suspend pas le délai prévu à l'article 149.",
     "Die Stelle darf die Einbringung nicht davon abhängig machen, dass JavaScript aktiviert ist.",
