@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.vec import unit
+from quillstone.operators.retrieval import topk
 from quillstone.session import materialize, tasks
 
 SHARD_ROWS = 4096
@@ -352,38 +354,15 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_simi
     return near.select(F.least("query_id", "neighbor_id").alias("a"), F.greatest("query_id", "neighbor_id").alias("b")).distinct()
 
 
-def exact_neighbors(df: DataFrame, id_col: str, vec_col: str, k: int, query_filter: str, block: int = 4096) -> DataFrame:
+def exact_neighbors(df: DataFrame, id_col: str, vec_col: str, k: int, query_filter: str) -> DataFrame:
     """(query_id, neighbor_id, rank, similarity) by comparing a stated query set with all rows, in blocks."""
-    spark = df.sparkSession
     v = unit_vectors(df, id_col, vec_col)
-    v = materialize(v, "exact-vectors")
-    n, nq = v.count(), v.where(query_filter).count()
-    rows_in, qs_in = max(1, math.ceil(n / block)), max(1, math.ceil(nq / block))
-    salt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    every = v.select("id", "vec", F.lit(False).alias("asks"), salt(rows_in).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(qs_in - 1))).alias("q"))
-    asks = v.where(query_filter).select("id", "vec", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1))).alias("r"), salt(qs_in).alias("q"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, q = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        out: list[pd.DataFrame] = []
-        if len(m) and len(q):
-            x, y = (np.stack(t["vec"].to_numpy()).astype(np.float64) for t in (m, q))
-            x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-            ids = m["id"].to_numpy()
-            for i in range(0, len(y), 256):
-                s = np.minimum(y[i : i + 256] @ x.T, 1.0)
-                mine = q["id"].to_numpy()[i : i + 256]
-                s[mine[:, None] == ids[None, :]] = -2
-                for j, row in enumerate(s):
-                    top = np.argsort(-row, kind="stable")[: k + 8] if len(row) <= k + 8 else np.argpartition(-row, k + 7)[: k + 8]
-                    top = top[np.lexsort((ids[top], -row[top]))][:k]
-                    top = top[row[top] > -2]
-                    out.append(pd.DataFrame({"query_id": mine[j], "neighbor_id": ids[top], "similarity": row[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "neighbor_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-
-    got = every.unionByName(asks).groupBy("r", "q").applyInPandas(compare, "query_id long, neighbor_id long, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", F.round("similarity", 6).alias("similarity"))
+    v = materialize(v.select("id", unit(F.col("vec")).alias("emb")), "exact-vectors")
+    queries, rows = v.where(query_filter).withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "unit_id")
+    got = topk(queries, rows, k + 1).where("unit_id <> query_id")  # without the query itself
+    w = Window.partitionBy("query_id").orderBy("rank")
+    got = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return got.select("query_id", F.col("unit_id").alias("neighbor_id"), "rank", F.round(F.least("score", F.lit(1.0)), 6).alias("similarity"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
