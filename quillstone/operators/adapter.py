@@ -199,6 +199,24 @@ def refine(d: DataFrame, model: DataFrame, targets: DataFrame, alpha: float = 10
     return out.where("cluster >= 0").select("label", "cluster", "center"), out.where("cluster < 0").select("label", (-F.col("cluster")).alias("epoch"), "mse")
 
 
+def train_family(rows: DataFrame, validation: float = 0.05, alphas: Sequence[float] = (2.0, 5.0, 10.0), topks: Sequence[int | None] = (2, 5, None), epochs: int = 1, seed: int = 0, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Model table with refined centers, soft parameters (label, alpha, topk, mse) and held-out ids (label, id).
+
+    Of each label, the rows whose hash falls below the share are held out; soft parameters are tuned on
+    them, centers are refined on the others.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10_000)) < int(validation * 10_000)
+    rows = materialize(rows.where("label IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("label", F.col("label").cast("string")).withColumn("held", part), "family-rows")
+    model = train(rows.where("NOT held"), seed=seed, **how)
+    q = rows.withColumnRenamed("id", "query_id")
+    d = materialize(distances(q, model), "family-distances")
+    best = tune(d, centers(model), q.where("held"), alphas, topks).where("best").drop("best")
+    refined, _ = refine(d, model, q.where("NOT held").select("query_id", "label", "y"), epochs=epochs, seed=seed)
+    c = refined.withColumnRenamed("center", "refined")
+    model = model.join(c, ["label", "cluster"], "left").withColumn("center", F.coalesce("refined", "center")).select(*model.columns)
+    return model, best, rows.where("held").select("label", "id")
+
+
 def classify(queries: DataFrame, model: DataFrame) -> DataFrame:
     """(query_id, label, d): the label of the nearest block; a classifier is an adapter with one cluster for each label."""
     return gate(distances(queries, model))

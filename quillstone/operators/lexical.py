@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import WORD, lexical
+from quillstone.functions.vec import unit
 from quillstone.session import materialize
 
 
@@ -106,6 +107,32 @@ class TruncatedSVD:
         return _rows(weights, self.terms).mapInPandas(run, f"doc_id {t}, emb array<double>")
 
 
+def build_index(docs: DataFrame, id_col: str, text_col: str, dim: int = 512, min_df: int = 1, most_terms: int = 100_000, chars: bool = False, iterations: int = 6, seed: int = 42) -> tuple[DataFrame, TruncatedSVD, DataFrame]:
+    """(doc_id, emb) of unit length, the SVD and the vocabulary (term, df, idf), fitted on `docs`.
+
+    With `chars`, character n-grams of three to six letters are joined with weight 0.9.
+    """
+    n = docs.count()
+    blocks, vocabs = [], []
+    for i, (counts, weight) in enumerate([(term_counts(docs, id_col, text_col), 1.0), *([(char_counts(docs, id_col, text_col), 0.9)] if chars else [])]):
+        v = materialize(vocabulary(counts, n, min_df, most=most_terms // (1 + chars)), "vocabulary")
+        blocks.append(tfidf(counts, v, weight=weight))
+        vocabs.append(v.withColumn("term", F.concat(F.lit(f"{i}:"), F.col("term"))))
+    w = materialize(union_features(*blocks), "tfidf")
+    vocab = vocabs[0] if len(vocabs) == 1 else vocabs[0].unionByName(vocabs[1])
+    svd = TruncatedSVD.fit(w, dim, vocab, iterations, seed=seed, most_terms=most_terms)
+    return svd.transform(w).select("doc_id", unit(F.col("emb")).cast("array<float>").alias("emb")), svd, vocab
+
+
+def embed(docs: DataFrame, id_col: str, text_col: str, svd: TruncatedSVD, vocab: DataFrame, chars: bool = False) -> DataFrame:
+    """(doc_id, emb): other texts in the space of `build_index`; texts without any known term have no row."""
+    blocks = []
+    for i, (counts, weight) in enumerate([(term_counts(docs, id_col, text_col), 1.0), *([(char_counts(docs, id_col, text_col), 0.9)] if chars else [])]):
+        own = vocab.where(F.col("term").startswith(f"{i}:")).withColumn("term", F.substring("term", 3, 1000))
+        blocks.append(tfidf(counts, own, weight=weight))
+    return svd.transform(union_features(*blocks)).select("doc_id", unit(F.col("emb")).cast("array<float>").alias("emb"))
+
+
 def _rows(weights: DataFrame, terms: list[str]) -> DataFrame:
     spark = weights.sparkSession
     numbers = spark.createDataFrame(pd.DataFrame({"term": terms, "i": np.arange(len(terms), dtype=np.int32)}))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from quillstone.functions import vec
 from quillstone.operators import adapter as A
 from quillstone.operators import baselines as B
+from quillstone.operators import lexical as L
 from quillstone.operators import metrics as M
 from quillstone.operators import retrieval as T
+from quillstone.operators.encode import encode, hashing_encoder, index_for
 from quillstone.session import materialize
 from quillstone.sources.tables import table
 
@@ -130,6 +132,28 @@ def e20_margins(spark: SparkSession, d: str) -> DataFrame:
     return t.select("cluster", *[F.round(c, 6).alias(c) for c in ("lhs", "rhs", "margin")])
 
 
+def h23_family(spark: SparkSession, d: str) -> DataFrame:
+    """Soft parameters chosen on held-out rows of each label."""
+    _, best, _ = A.train_family(_rows(spark, d), 0.2, (2.0, 10.0), (2, None), n_clusters=4, dim=6, block_rows=60)
+    return best.select("label", "alpha", "topk", F.round("mse", 6).alias("mse"))
+
+
+def h6_index(spark: SparkSession, d: str) -> DataFrame:
+    """A lexical index of passages and its answers to test queries."""
+    t = table(spark, d, "ris_sentences").where("sentence IS NOT NULL")
+    index, svd, vocab = L.build_index(t, "sentence_id", "sentence", 48, 3, 4000, iterations=2)
+    q = table(spark, d, "test").where("query_text IS NOT NULL")
+    query = L.embed(q, "query_id", "query_text", svd, vocab).withColumnRenamed("doc_id", "query_id")
+    return T.topk(query, index_for("lexical", {"lexical": index.withColumnRenamed("doc_id", "unit_id")}), 3).select("query_id", "rank", "unit_id", F.round("score", 3).alias("score"))
+
+
+def h7_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Test queries through the encoder interface."""
+    q = table(spark, d, "test").select("query_id", "query_text")
+    t = encode(q, hashing_encoder(64), "query_id", "query_text", dim=32, prefix="query: ")
+    return t.select(F.col("id").alias("query_id"), F.size("emb").alias("d"), F.round(vec.norm(F.col("emb")), 4).alias("norm"))
+
+
 def _baseline(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = _rows(spark, d)
@@ -142,7 +166,7 @@ def _baseline(kind: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (h12_blocks, h14_distances, h14_combination, h15_block_minimum, h16_weights, h17_soft, h17_hard, h19_gate, h21_tuning, h22_refinement, h24_classifier, h25_adapter, e20_margins)}
+QUERIES = {f.__name__: f for f in (h12_blocks, h14_distances, h14_combination, h15_block_minimum, h16_weights, h17_soft, h17_hard, h19_gate, h21_tuning, h22_refinement, h24_classifier, h25_adapter, e20_margins, h23_family, h6_index, h7_encode)}
 QUERIES |= {"h28_ridge": _baseline("ridge"), "h29_logistic": _baseline("logistic_proto"), "h30_mlp": _baseline("mlp"), "h30_mlp_proto": _baseline("mlp_proto"), "h31_student": _baseline("student")}
 
 _D = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
@@ -151,6 +175,7 @@ p AS (SELECT q.vec_id AS query_id, CAST(c.label AS VARCHAR) AS label, CAST(c.vec
 d AS (SELECT query_id, label, cluster, min(round(sqrt((1 - exp(-sqrt(sq))) ** 2 + (acos(greatest(-1, least(1, dot))) / 3.141592653589793) ** 2) / sqrt(2), 9)) AS d FROM p GROUP BY ALL)"""
 
 ORACLE = {
+    "h7_encode": "SELECT query_id, 32 AS d, 1.0::DOUBLE AS norm FROM test WHERE query_text IS NOT NULL",
     "h14_combination": "WITH t AS (SELECT event_id, 1 - exp(-abs(value) / 10) AS a, CAST(event_id % 100 AS DOUBLE) / 100 AS b FROM events) SELECT event_id, round(sqrt(a * a + b * b) / sqrt(2), 6) AS folding, round(a * b, 6) AS product, round(least(a, b), 6) AS minimum, round(greatest(a, b), 6) AS maximum, round(b, 6) AS cosine FROM t",
     "h15_block_minimum": _D + " SELECT query_id, label, cluster, round(d, 6) AS d FROM d",
     "h16_weights": _D + ", s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, label ORDER BY greatest(0, least(1, 1 - d)) ** 10 DESC, cluster) <= 2 THEN greatest(0, least(1, 1 - d)) ** 10 ELSE 0 END AS s FROM d), t AS (SELECT *, sum(s) OVER w AS total, count(*) OVER w AS m FROM s WINDOW w AS (PARTITION BY query_id, label)) SELECT query_id, label, cluster, round(CASE WHEN total <= 1e-12 THEN 1.0 / m ELSE s / total END, 6) AS p FROM t",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.functions import vec
+from quillstone.operators import generation as G
 from quillstone.operators import lexical as L
 from quillstone.operators import ngram as N
 from quillstone.operators import passages as P
@@ -253,6 +254,22 @@ def i2_expansion(spark: SparkSession, d: str) -> DataFrame:
     return S.expand_templates(templates.where("template NOT LIKE '%other%'"), slots, 5, 19)
 
 
+def i3_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Generated queries for each topic of the test table."""
+    t = table(spark, d, "test").where("topic_id IS NOT NULL AND issue IS NOT NULL").groupBy("topic_id").agg(F.min("consensus_law").alias("label"), F.min("issue").alias("issue"))
+    styles = {"nl_short": ("Was gilt bei {issue}?", "Wer entscheidet über {issue} in {place}?"), "keyword": ("{issue} {place}",)}
+    return G.queries(t, styles, {"place": ("Langtal", "Obermoos", "Kaltbach")})
+
+
+def i4_noise(spark: SparkSession, d: str) -> DataFrame:
+    """How many generated texts differ from those without noise and hints, by style."""
+    t = table(spark, d, "test").where("topic_id IS NOT NULL AND issue IS NOT NULL").groupBy("topic_id").agg(F.min("consensus_law").alias("label"), F.min("issue").alias("issue"))
+    styles = {"nl_short": ("Was gilt bei {issue}?",), "keyword": ("{issue}",)}
+    n = G.queries(t, styles, {}, noise_share=1.0, hint_share=0.0).select("query_id", "style", F.col("query_text").alias("noisy"))
+    c = G.queries(t, styles, {}, noise_share=0.0, hint_share=0.0).select("query_id", "query_text")
+    return n.join(c, "query_id").groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("noisy") != F.col("query_text")).alias("changed"))
+
+
 def i5_targets(spark: SparkSession, d: str) -> DataFrame:
     return S.target_counts(table(spark, d, "train"), 1000, "consensus_law")
 
@@ -286,7 +303,7 @@ def i9_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "train").groupBy("consensus_law", "style").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a2_links, a3_parameter, a4_abbreviations, a7_corpus, b1_lexical, b2_normalize, b3_noise, b5_sentences, b7_list_parts, b8_meaningful, b9_tokens, b10_passages, b11_headers, b12_paragraphs, b13_merged, b14_nearest_rank, b15_keep_first, b16_keywords, b17_ui_tokens, c1_unit, c2_unit_norms, c4_distances, c7_output_metrics, c8_fixed, e16_leakage, g1_ngrams, g2_suggestions, g3_completions, g4_lengths, g5_cells, h1_idf, h1_tfidf, h2_char_ngrams, h3_union, h4_svd_retrieval, i1_hash, i2_capacity, i2_expansion, i5_targets, i5_style_targets, i6_sample, i7_split, i8_terms, i9_counts)}
+QUERIES = {f.__name__: f for f in (a2_links, a3_parameter, a4_abbreviations, a7_corpus, b1_lexical, b2_normalize, b3_noise, b5_sentences, b7_list_parts, b8_meaningful, b9_tokens, b10_passages, b11_headers, b12_paragraphs, b13_merged, b14_nearest_rank, b15_keep_first, b16_keywords, b17_ui_tokens, c1_unit, c2_unit_norms, c4_distances, c7_output_metrics, c8_fixed, e16_leakage, g1_ngrams, g2_suggestions, g3_completions, g4_lengths, g5_cells, h1_idf, h1_tfidf, h2_char_ngrams, h3_union, h4_svd_retrieval, i1_hash, i2_capacity, i2_expansion, i3_queries, i4_noise, i5_targets, i5_style_targets, i6_sample, i7_split, i8_terms, i9_counts)}
 
 # SQL. RE2 has no Unicode classes for \s, \d, \w and no look-around: they are spelt out.
 _S = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"

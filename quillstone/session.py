@@ -67,6 +67,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all working tables in the shared folder, once no result that reads them is needed any more."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillstone")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def tasks(spark: SparkSession, per_core: int = 2) -> int:
     """A number of tasks that keeps every core of the session busy."""
     return max(1, spark.sparkContext.defaultParallelism) * per_core

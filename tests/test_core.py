@@ -211,6 +211,55 @@ def test_tfidf_and_svd(spark):
     assert chars == {" a ": 2, " b ": 1}
 
 
+def test_lexical_index_and_encoders(spark):
+    from quillstone.operators import encode as E
+
+    docs = spark.createDataFrame([(i, f"wort{i % 7} wort{(i * 3) % 11} haus") for i in range(60)] + [(99, None)], "id long, text string")
+    for chars in (False, True):
+        index, svd, vocab = L.build_index(docs, "id", "text", 6, chars=chars)
+        own = {r["doc_id"]: np.array(r["emb"]) for r in index.collect()}
+        again = {r["doc_id"]: np.array(r["emb"]) for r in L.embed(docs, "id", "text", svd, vocab, chars).collect()}
+        assert len(own) == 60 and all(np.isclose(np.linalg.norm(v), 1, atol=1e-5) for v in own.values()) and all(np.allclose(own[i], again[i], atol=1e-5) for i in own)
+    calls = []
+
+    def make():
+        def run(items):
+            calls.append(len(items))
+            if len(items) > 3:
+                raise MemoryError
+            return np.ones((len(items), 4)) * [[1, 2, 3, 4]]
+
+        return run
+
+    got = E.encode(docs, make, "id", "text", 10, 2).collect()
+    assert len(got) == 60 and all(np.allclose(r["emb"], np.array([1, 2]) / np.sqrt(5)) for r in got)
+    with pytest.raises(Exception, match="8 elements are wanted"):
+        E.encode(docs, make, "id", "text", 2, 8).collect()
+    assert E.index_for("adapter", {"dense": "d", "lexical": "l"}) == "d"
+    with pytest.raises(ValueError):
+        E.index_for("other", {})
+
+
+def test_generated_queries(spark):
+    from quillstone.operators import generation as G
+
+    t = spark.createDataFrame([("T1", "A", "die Gebührenpflicht"), ("T2", None, "die Frist"), (None, "A", "x"), ("T3", "A", None)], "topic_id string, label string, issue string")
+    styles = {"short": ("Was gilt für {issue}?", "Wann {act} {issue}?"), "key": ("{issue} {act}",)}
+    a = G.queries(t, styles, {"act": ("endet", "beginnt")}, variants=3).collect()
+    b = G.queries(t.repartition(3), styles, {"act": ("endet", "beginnt")}, variants=3).collect()
+    assert sorted(a) == sorted(b) and len(a) == 12 and len({r["query_id"] for r in a}) == 12
+    assert G.stable_hash("A:issues") == 2247516256
+    r = G.rng(1, "x")
+    assert G.noise("Überprüfung?", r, 0.0) == "Überprüfung?" and all(G.noise("Gebührenpflicht Wörter", G.rng(i), 1.0) for i in range(20))
+    assert {G.hint("x", "L", G.rng(i)) for i in range(40)} == {"x (nach L)", "x - L", "x (gemäß L)", "x unter Bezug auf L"}
+
+
+def test_family_training(spark):
+    rows = spark.createDataFrame(regimes(), "id long, label string, x array<double>, y array<double>")
+    model, best, held = A.train_family(rows, 0.2, (2.0, 8.0), (1, None), n_clusters=4, dim=4, block_rows=30)
+    assert best.count() == 3 and model.where("error IS NOT NULL").count() == 0 and 0 < held.count() < 90
+
+
 def test_loaders(spark, tmp_path):
     ok = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "ids long, X array<float>")
     assert loaders.write_verified(ok, f"{tmp_path}/v.parquet") == 3 and loaders.write_verified(ok, f"{tmp_path}/v.parquet") == 3
