@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,10 +22,7 @@ SLOT = re.compile(r"\{(\w+)\}")
 
 def stable_hash(s: str) -> int:
     """The hash of `functions.text.stable_hash` for one string."""
-    acc = 0
-    for i, c in enumerate(s, 1):
-        acc = (acc * 131 + ord(c) * i) & 0xFFFFFFFF
-    return acc
+    return reduce(lambda acc, at: (131 * acc + at[0] * ord(at[1])) % 2**32, enumerate(s, 1), 0)
 
 
 def rng(seed: int, *keys: object) -> random.Random:
@@ -41,16 +39,27 @@ def hint(text: str, label: str, r: random.Random) -> str:
     return text + r.choice(HINTS).format(label)
 
 
+def _lose(letters: list[str], at: int) -> None:
+    del letters[at]
+
+
+def _double(letters: list[str], at: int) -> None:
+    letters.insert(at, letters[at])
+
+
+def _swap(letters: list[str], at: int) -> None:
+    letters[at - 1 : at + 1] = letters[at], letters[at - 1]
+
+
 def typo(text: str, r: random.Random) -> str:
-    """One letter of a longer word lost, doubled or swapped with the one before."""
+    """One inner letter of a longer word lost, doubled or swapped with the one before."""
     words = text.split()
-    long = [i for i, w in enumerate(words) if len(w) > 5 and w.isalpha()]
-    if not long:
+    if not (long := [i for i, w in enumerate(words) if w.isalpha() and len(w) > 5]):
         return text
-    i = r.choice(long)
-    w, j, kind = words[i], r.randrange(1, len(words[i]) - 1), r.randrange(3)
-    words[i] = (w[:j] + w[j + 1 :], w[:j] + w[j] + w[j:], w[: j - 1] + w[j] + w[j - 1] + w[j + 1 :])[kind]
-    return " ".join(words)
+    at = r.choice(long)
+    letters = list(words[at])
+    r.choice((_lose, _double, _swap))(letters, r.randrange(1, len(letters) - 1))
+    return " ".join([*words[:at], "".join(letters), *words[at + 1 :]])
 
 
 def noise(text: str, r: random.Random, p: float) -> str:
