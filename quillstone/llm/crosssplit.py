@@ -150,7 +150,7 @@ def overlapping(evaluation: DataFrame, training: DataFrame, id_col: str, text_co
     for name, df in (("evaluation", evaluation), ("training", training)):
         sets = materialize(W.word_sets(df, id_col, text_col), f"{name}-sets")
         classes = W.set_classes(sets, f"{name}-classes")
-        sides.append((materialize(sets.select("id", "h1", "h2").join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("id", "cid"), f"{name}-members"), classes))
+        sides.append((W.set_members(sets, classes, f"{name}-members"), classes))
     return sides[0][0], sides[1][0], similar_across(sides[0][1], sides[1][1], threshold)
 
 

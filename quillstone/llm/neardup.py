@@ -204,7 +204,7 @@ def _blocks(pdf: pd.DataFrame, t: Fraction) -> pd.DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: str = "0.7") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (id, cid), classes (cid, h1, h2, words, copies) and similar pairs of classes (a, b, similarity).
+    """Members (id, cid), classes (cid, h1, h2, words) and similar pairs of classes (a, b, similarity).
 
     Rows with a null id, a null text or a text without words are left out; an id may have several
     texts and then belongs to several classes; repeated rows count once; extra columns are ignored.
@@ -212,8 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: str =
     sets = materialize(W.word_sets(df, id_col, text_col), "word-sets")
     classes = W.set_classes(sets, "set-classes")
     pairs = similar_sets(classes, threshold)
-    members = sets.select("id", "h1", "h2").join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("id", "cid")
-    return materialize(members, "set-members"), classes, pairs
+    return W.set_members(sets, classes, "set-members"), classes, pairs
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -24,16 +24,21 @@ def word_hashes(text: Column) -> Column:
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2, words), one row for each different (id, word set); h1 and h2 together name the set."""
+    """(id, h1, h2, words) of each row with an id and words; h1 and h2 together name the word set."""
     t = df.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words")).where("id IS NOT NULL AND size(words) > 0")
-    t = t.select("id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(17), F.reverse("words")).alias("h2"), "words")
-    return t.dropDuplicates(["id", "h1", "h2"])
+    return t.select("id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(17), F.reverse("words")).alias("h2"), "words")
+
+
+def set_members(sets: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
+    """(id, cid), one row for each different id and class; an id with several texts is in several classes."""
+    ids = sets.select("id", "h1", "h2").distinct()  # words stay out of this shuffle
+    return materialize(ids.join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("id", "cid"), tag)
 
 
 def set_classes(sets: DataFrame, tag: str) -> DataFrame:
-    """(cid, h1, h2, words, copies): each different word set once, with a number that is unique."""
-    c = sets.groupBy("h1", "h2").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
-    return materialize(c.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "words", "copies"), tag)
+    """(cid, h1, h2, words): each different word set once, with a number that is unique."""
+    c = sets.groupBy("h1", "h2").agg(F.first("words").alias("words"))
+    return materialize(c.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "words"), tag)
 
 
 def frequent_words(classes: DataFrame, share: float = 0.001, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
