@@ -12,14 +12,14 @@ from quillstone.operators import lexical as L
 from quillstone.operators import ngram as N
 from quillstone.operators import passages as P
 from quillstone.operators import sampling as S
-from quillstone.sources.tables import table
+from quillstone.sources.tables import spread, table
 
 STYLES = ("nl_short", "nl_long", "scenario", "procedural", "authority", "keyword", "fragment")
 LETTERS = "[A-Za-zÄÖÜäöüß]"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang", "source"))
 
 
 def _laws(spark: SparkSession, d: str) -> DataFrame:

@@ -11,3 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of `folder` (a file or a folder of files)."""
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores if the scan gives fewer partitions, as one small file does; else as they are.
+
+    For work that takes long for its bytes. Large inputs have partitions enough and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
