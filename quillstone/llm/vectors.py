@@ -156,7 +156,8 @@ def knn(
     spark = df.sparkSession
     schema = "query_id long, neighbor_id long, rank int, similarity double"
     v = materialize(unit_vectors(df, id_col, vec_col, dim).withColumn("h", F.xxhash64("vec")), "vectors")
-    classes = v.groupBy("h", "vec").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"))
+    asked = F.coalesce(F.bool_or(F.expr(query_filter)), F.lit(False)) if query_filter else F.lit(True)
+    classes = v.groupBy("h", "vec").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"), asked.alias("asked"))  # a class asks if any of its ids does
     reps = materialize(classes, "vector-classes")
     n = reps.count()
     if n == 0:
@@ -193,10 +194,11 @@ def knn(
                         "norm": norms,
                         "cell": q.cell_of(codes),
                         "probed": list(cells),
+                        "asked": part["asked"].to_numpy(),
                     }
                 )
 
-    coded = reps.select("rid", "vec").repartition(max(tasks(spark), n // 16384), "rid").mapInPandas(encode, "rid long, unit binary, codes binary, norm float, cell long, probed array<long>")
+    coded = reps.select("rid", "vec", "asked").repartition(max(tasks(spark), n // 16384), "rid").mapInPandas(encode, "rid long, unit binary, codes binary, norm float, cell long, probed array<long>, asked boolean")
     coded = materialize(coded, "vector-codes")
 
     # cells beyond SHARD_ROWS members are cut into blocks; how many, is known for each cell (bounded by the codebooks)
@@ -209,8 +211,7 @@ def knn(
     plan = spark.sparkContext.broadcast((large, first))
 
     members = coded.select("rid", "unit", "codes", "norm", "cell", F.lit(None).cast("array<long>").alias("probed"), F.lit(False).alias("asks"))
-    asking = coded.where(query_filter.replace("id", "rid")) if query_filter else coded
-    asking = asking.select("rid", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "cell", "probed", F.lit(True).alias("asks"))
+    asking = coded.where("asked").select("rid", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "cell", "probed", F.lit(True).alias("asks"))
     q_blocks = max(1, math.ceil(asking.count() / (8 * SHARD_ROWS))) if everywhere else 1
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

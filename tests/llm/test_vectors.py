@@ -56,6 +56,16 @@ def test_exact_copies_scaled_copies_and_ties(spark):
     assert got[1] == [1000, 1001, 1002, 1003, 1004]
 
 
+def test_filtered_queries_that_are_copies_of_earlier_rows(spark):
+    rows = data(60, 8)
+    rows += [(100, rows[6][1]), (150, rows[6][1]), (201, rows[8][1]), (202, rows[9][1])]
+    for how in ({"probes": None}, {}):
+        got = {}
+        for r in vectors.knn(frame(spark, rows), k=5, query_filter="id % 50 = 0", shortlist=64, cell_rows=16 if how else 64, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["neighbor_id"])
+        assert got == {i: [j for j, _ in near] for i, near in brute(rows, 5, -1).items() if i % 50 == 0}
+
+
 def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_ROWS", 16)
     rows = data(120, 8)
