@@ -96,6 +96,41 @@ def combined_distance(d1: Column, d2: Column, kind: str = "folding") -> Column:
     }[kind]
 
 
+def vector_distances(queries: DataFrame, rows: DataFrame, kind: str = "folding") -> DataFrame:
+    """(query_id, label, cluster, d): the least distance of each query (query_id, x) from each cluster in each block of
+    `rows` (id, label, cluster, x), whose vectors stand for themselves. All queries meet all rows, QUERY_BLOCK by QUERY_BLOCK."""
+    q_parts, r_parts = (max(1, math.ceil(t.count() / QUERY_BLOCK)) for t in (queries, rows))
+    qt, lt, ct = queries.schema["query_id"].dataType.simpleString(), rows.schema["label"].dataType.simpleString(), rows.schema["cluster"].dataType.simpleString()
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.where("x IS NOT NULL").select("query_id", "x", part("query_id", q_parts).alias("q_part")).withColumn("r_part", every(r_parts))
+    r = rows.where("x IS NOT NULL").select("label", "cluster", "x", part("id", r_parts).alias("r_part")).withColumn("q_part", every(q_parts))
+    n = max(1, min(q_parts * r_parts, 8 * tasks(queries.sparkSession)))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": a["query_id"][:0], "label": b["label"][:0], "cluster": b["cluster"][:0], "d": np.zeros(0)})
+        group = b.groupby(["label", "cluster"], dropna=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        starts = np.unique(group[order], return_index=True)[1]
+        names, y = b[["label", "cluster"]].iloc[order[starts]], np.stack(b["x"].to_numpy()[order]).astype(float)
+        yy, out = np.einsum("ij,ij->i", y, y), []
+        for i in range(0, len(a), 256):
+            own = a.iloc[i : i + 256]
+            x = np.stack(own["x"].to_numpy()).astype(float)
+            dot = x @ y.T
+            d1 = 1 - np.exp(-np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x)[:, None] + yy - 2 * dot, 0)))
+            d2 = np.arccos(np.clip(dot, -1, 1)) / np.pi
+            d = {"folding": lambda: np.sqrt(d1 * d1 + d2 * d2) / math.sqrt(2), "product": lambda: d1 * d2, "minimum": lambda: np.minimum(d1, d2), "maximum": lambda: np.maximum(d1, d2), "cosine": lambda: d2}[kind]()
+            d = np.minimum.reduceat(d, starts, axis=1)
+            m = len(names)
+            out.append(pd.DataFrame({"query_id": np.repeat(own["query_id"].to_numpy(), m), "label": np.tile(names["label"].to_numpy(), len(own)), "cluster": np.tile(names["cluster"].to_numpy(), len(own)), "d": d.ravel()}))
+        return pd.concat(out)
+
+    left, right = (t.repartition(n, "q_part", "r_part").groupBy("q_part", "r_part") for t in (q, r))
+    return left.cogroup(right).applyInPandas(run, f"query_id {qt}, label {lt}, cluster {ct}, d double")
+
+
 def min_over_blocks(blocks: DataFrame) -> DataFrame:
     """(query_id, label, cluster, d) from distances per block."""
     return blocks.groupBy("query_id", "label", "cluster").agg(F.min("d").alias("d"))
