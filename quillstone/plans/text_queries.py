@@ -86,7 +86,7 @@ def b10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def b11_headers(spark: SparkSession, d: str) -> DataFrame:
     """Line keys that repeat within a law file, every line taken as an edge line."""
-    t = _laws(spark, d).select(F.col("source_file").alias("doc"), F.coalesce("page", F.lit(1)).alias("page"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("y1"), F.lit(100.0).alias("height"), F.substring("sentence", 1, 24).alias("text"))
+    t = _laws(spark, d).select(F.col("source_file").alias("doc"), F.coalesce("page", F.lit(1)).alias("page"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("y1"), F.lit(100.0).alias("height"), F.col("sentence").alias("text"))
     return P.header_blacklist(t)
 
 

@@ -36,3 +36,10 @@ def test_gate_and_weights_count_every_vector(spark, tmp_path, monkeypatch):
         s = sorted((((1 - v) ** 10, -c) for (i, n, c), v in want.items() if (i, n) == (q, label)), reverse=True)
         top, total = {-c: v for v, c in s[:2]}, sum(v for v, _ in s[:2])
         assert all(abs(p[q, label, -c] - top.get(-c, 0.0) / total) < 1e-4 for _, c in s)
+
+
+def test_headers_are_whole_lines(spark, tmp_path):
+    same, head = "Dieser Anfang ist für alle Sätze gleich, ", "Bundesgesetz über das Salzwesen, Seite 1"
+    rows = [(i, 1 + i % 4, s, "a.pdf") for i, s in enumerate([same + w for w in ("eins", "zwei", "drei", "vier")] + [head, head.replace("1", "22"), f"  {head}", "kurz", "kurz"])]
+    spark.createDataFrame(rows, "sentence_id long, page int, sentence string, source_file string").write.parquet(f"{tmp_path}/ris_sentences.parquet")
+    assert [tuple(r) for r in e.queries()["b11_headers"](spark, str(tmp_path)).collect()] == [("a.pdf", "bundesgesetz über das salzwesen, seite <d>")]
