@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import WORD, lexical
-from quillstone.functions.vec import unit
 from quillstone.session import materialize
 
+SLICE = 1024
+
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, number_mode: str = "replace") -> DataFrame:
     """(doc_id, term, tf) of the preprocessed text's words."""
@@ -93,16 +94,18 @@ class TruncatedSVD:
         del spark
         return cls(terms, (q @ inner[:, order]).T, np.sqrt(np.maximum(values[order], 0)))
 
-    def transform(self, weights: DataFrame) -> DataFrame:
-        """(doc_id, emb): documents without any known term have no row."""
-        shared = weights.sparkSession.sparkContext.broadcast(self.components.astype(np.float64))  # components x at most most_terms
+    def transform(self, weights: DataFrame, unit_length: bool = False) -> DataFrame:
+        """(doc_id, emb), of unit length if wished: documents without any known term have no row."""
+        shared = weights.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.components.T, np.float64))  # at most most_terms x components
         t = weights.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c = shared.value
             for b in batches:
-                emb = [(c[:, i] @ w).tolist() for i, w in zip(b["idx"], b["val"])]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "emb": emb})
+                emb = [w @ c[i] for i, w in zip(b["idx"], b["val"])]
+                if unit_length:
+                    emb = [e / max(np.linalg.norm(e), 1e-12) for e in emb]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "emb": [e.tolist() for e in emb]})
 
         return _rows(weights, self.terms).mapInPandas(run, f"doc_id {t}, emb array<double>")
 
@@ -121,7 +124,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, dim: int = 512, min
     w = materialize(union_features(*blocks), "tfidf")
     vocab = vocabs[0] if len(vocabs) == 1 else vocabs[0].unionByName(vocabs[1])
     svd = TruncatedSVD.fit(w, dim, vocab, iterations, seed=seed, most_terms=most_terms)
-    return svd.transform(w).select("doc_id", unit(F.col("emb")).cast("array<float>").alias("emb")), svd, vocab
+    return materialize(svd.transform(w, True).select("doc_id", F.col("emb").cast("array<float>").alias("emb")), "lexical-index"), svd, vocab
 
 
 def embed(docs: DataFrame, id_col: str, text_col: str, svd: TruncatedSVD, vocab: DataFrame, chars: bool = False) -> DataFrame:
@@ -130,7 +133,7 @@ def embed(docs: DataFrame, id_col: str, text_col: str, svd: TruncatedSVD, vocab:
     for i, (counts, weight) in enumerate([(term_counts(docs, id_col, text_col), 1.0), *([(char_counts(docs, id_col, text_col), 0.9)] if chars else [])]):
         own = vocab.where(F.col("term").startswith(f"{i}:")).withColumn("term", F.substring("term", 3, 1000))
         blocks.append(tfidf(counts, own, weight=weight))
-    return svd.transform(union_features(*blocks)).select("doc_id", unit(F.col("emb")).cast("array<float>").alias("emb"))
+    return materialize(svd.transform(union_features(*blocks), True).select("doc_id", F.col("emb").cast("array<float>").alias("emb")), "lexical-vectors")
 
 
 def _rows(weights: DataFrame, terms: list[str]) -> DataFrame:
@@ -140,7 +143,7 @@ def _rows(weights: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def _gram(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """X'X q, a sum over blocks of documents."""
+    """X'X q, a sum over blocks of documents, in slices of SLICE terms."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(q)
 
@@ -150,13 +153,14 @@ def _gram(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         for b in batches:
             for i, w in zip(b["idx"], b["val"]):
                 total[i] += np.outer(w, w @ m[i])
-        yield pd.DataFrame({"part": [0], "block": [total.tobytes()]})
+        for i in range(0, len(total), SLICE):
+            yield pd.DataFrame({"slice": [i // SLICE], "block": [total[i : i + SLICE].tobytes()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, np.float64) for b in pdf["block"])
-        return pd.DataFrame({"block": [total.tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"][:1], "block": [total.tobytes()]})
 
-    parts = rows.mapInPandas(run, "part int, block binary")
-    blocks = parts.groupBy(F.pmod(F.xxhash64("block"), F.lit(8))).applyInPandas(add, "block binary").collect()  # at most 8 sums
+    parts = rows.mapInPandas(run, "slice int, block binary")
+    blocks = parts.groupBy("slice").applyInPandas(add, "slice int, block binary").collect()  # one matrix of the size of q
     shared.unpersist()
-    return sum((np.frombuffer(r["block"], np.float64) for r in blocks), np.zeros(q.size)).reshape(q.shape)
+    return np.frombuffer(b"".join(r["block"] for r in sorted(blocks, key=lambda r: r["slice"])), np.float64).reshape(q.shape)

@@ -137,7 +137,7 @@ def h23_family(spark: SparkSession, d: str) -> DataFrame:
 def h6_index(spark: SparkSession, d: str) -> DataFrame:
     """A lexical index of passages and its answers to test queries."""
     t = table(spark, d, "ris_sentences").where("sentence IS NOT NULL")
-    index, svd, vocab = L.build_index(t, "sentence_id", "sentence", 48, 3, 4000, iterations=2)
+    index, svd, vocab = L.build_index(t, "sentence_id", "sentence")
     q = table(spark, d, "test").where("query_text IS NOT NULL")
     query = L.embed(q, "query_id", "query_text", svd, vocab).withColumnRenamed("doc_id", "query_id")
     return T.topk(query, index_for("lexical", {"lexical": index.withColumnRenamed("doc_id", "unit_id")}), 3).select("query_id", "rank", "unit_id", F.round("score", 3).alias("score"))

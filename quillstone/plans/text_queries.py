@@ -224,13 +224,9 @@ def h4_svd_retrieval(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.operators.retrieval import topk
 
     q, t = (table(spark, d, n).where("query_text IS NOT NULL").select("query_id", "query_text").dropDuplicates(["query_id"]) for n in ("test", "train"))
-    c = L.term_counts(t, "query_id", "query_text")
-    v = L.vocabulary(c, t.count(), 2, most=4000)
-    w = L.tfidf(c, v)
-    svd = L.TruncatedSVD.fit(w, 64, v, iterations=3)
-    emb = lambda x: svd.transform(x).select("doc_id", vec.unit(F.col("emb")).alias("emb"))
-    query = emb(L.tfidf(L.term_counts(q, "query_id", "query_text"), v)).withColumnRenamed("doc_id", "query_id")
-    return topk(query, emb(w).withColumnRenamed("doc_id", "unit_id"), 5).select("query_id", "rank", "unit_id", F.round("score", 4).alias("score"))
+    index, svd, vocab = L.build_index(t, "query_id", "query_text")
+    query = L.embed(q, "query_id", "query_text", svd, vocab).withColumnRenamed("doc_id", "query_id")
+    return topk(query, index.withColumnRenamed("doc_id", "unit_id"), 5).select("query_id", "rank", "unit_id", F.round("score", 4).alias("score"))
 
 
 def i1_hash(spark: SparkSession, d: str) -> DataFrame:

@@ -43,3 +43,15 @@ def test_headers_are_whole_lines(spark, tmp_path):
     rows = [(i, 1 + i % 4, s, "a.pdf") for i, s in enumerate([same + w for w in ("eins", "zwei", "drei", "vier")] + [head, head.replace("1", "22"), f"  {head}", "kurz", "kurz"])]
     spark.createDataFrame(rows, "sentence_id long, page int, sentence string, source_file string").write.parquet(f"{tmp_path}/ris_sentences.parquet")
     assert [tuple(r) for r in e.queries()["b11_headers"](spark, str(tmp_path)).collect()] == [("a.pdf", "bundesgesetz über das salzwesen, seite <d>")]
+
+
+def test_rare_terms_count_in_lexical_retrieval(spark, tmp_path):
+    n = 4200  # more terms than any cap of 4000; each frequent term is in two rows, the rare ones in one
+    rows = [(f"t{i:05d}", f"wort{i % n}x haus") for i in range(2 * n)] + [("r1", "haus seltenes"), ("r2", "haus rares"), ("r3", "einzig")]
+    spark.createDataFrame(rows, "query_id string, query_text string").write.parquet(f"{tmp_path}/train.parquet")
+    spark.createDataFrame(rows[-3:], "query_id string, query_text string").write.parquet(f"{tmp_path}/test.parquet")
+    got = {r["query_id"] for r in e.queries()["h4_svd_retrieval"](spark, str(tmp_path)).where("rank = 1").collect()}
+    assert got == {"r1", "r2", "r3"}
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "sentence_id long, sentence string").write.parquet(f"{tmp_path}/ris_sentences.parquet")
+    got = {r["query_id"] for r in e.queries()["h6_index"](spark, str(tmp_path)).where("rank = 1").collect()}
+    assert got == {"r1", "r2", "r3"}
