@@ -203,17 +203,17 @@ def h1_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h2_char_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred most frequent character n-grams of query texts."""
+    """Character n-grams of query texts that two texts or more have, but not more than 99 % of them."""
     t = table(spark, d, "test").where("query_text IS NOT NULL")
     c = L.char_counts(t, "query_id", "query_text")
-    return c.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(100)
+    return c.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).where((F.col("df") >= 2) & (F.col("df") <= 0.99 * t.count()))
 
 
 def h3_union(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "test").where("query_text IS NOT NULL")
     n = t.count()
     blocks = []
-    for c, weight in ((L.term_counts(t, "query_id", "query_text"), 1.0), (L.char_counts(t, "query_id", "query_text", 3, 3), 0.9)):
+    for c, weight in ((L.term_counts(t, "query_id", "query_text"), 1.0), (L.char_counts(t, "query_id", "query_text"), 0.9)):
         blocks.append(L.tfidf(c, L.vocabulary(c, n, 2), weight=weight))
     u = L.union_features(*blocks)
     return u.groupBy(F.col("doc_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.col("w")), 5).alias("square"))

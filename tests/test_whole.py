@@ -55,3 +55,21 @@ def test_rare_terms_count_in_lexical_retrieval(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "sentence_id long, sentence string").write.parquet(f"{tmp_path}/ris_sentences.parquet")
     got = {r["query_id"] for r in e.queries()["h6_index"](spark, str(tmp_path)).where("rank = 1").collect()}
     assert got == {"r1", "r2", "r3"}
+
+
+def test_all_char_ngrams_of_three_to_six_letters(spark, tmp_path):
+    texts = ["abcdefgh ijklmnopqr", "abcdefgh ijklmnopqr stuvwxyzabc", "defghijk stuvwxyzabc lmnopqrst abcdefgh", "nur einmal uvwxyzabcdef uvwxyzabcdef", "uvwxyzabcdef", "qqq"]
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, query_text string").write.parquet(f"{tmp_path}/test.parquet")
+    df, total, grams = {}, {}, {}
+    for i, t in enumerate(texts):
+        own = [w[j : j + n] for w in (f" {w} " for w in t.split()) for n in range(3, 7) for j in range(len(w) - n + 1)]
+        for g in own:
+            total[g] = total.get(g, 0) + 1
+        for g in set(own):
+            df[g] = df.get(g, 0) + 1
+        grams[str(i)] = set(own)
+    want = {(g, k, total[g]) for g, k in df.items() if 2 <= k <= 0.99 * len(texts)}
+    assert len(want) > 100 and {tuple(r) for r in e.queries()["h2_char_ngrams"](spark, str(tmp_path)).collect()} == want
+    words = {str(i): {w for w in t.split() if sum(w in u.split() for u in texts) >= 2} for i, t in enumerate(texts)}
+    sizes = {q: len(words[q]) + sum(df[x] >= 2 for x in g) for q, g in grams.items()}
+    assert {r["query_id"]: r["n"] for r in e.queries()["h3_union"](spark, str(tmp_path)).collect()} == {q: n for q, n in sizes.items() if n}
