@@ -98,7 +98,7 @@ def excerpt(text: Column, most: int) -> Column:
     return F.when(F.length(line) > most, F.concat(F.rtrim(F.substring(line, 1, most - 3)), F.lit("..."))).otherwise(line)
 
 
-def prompts(ranked: DataFrame, queries: DataFrame, units: DataFrame, most_chars: int = 600, language: str = "Deutsch") -> DataFrame:
+def prompts(ranked: DataFrame, queries: DataFrame, units: DataFrame, most_chars: int = 5000, language: str = "Deutsch") -> DataFrame:
     """(query_id, query_text, prompt, unit_ids, scores): ranked excerpts below the question.
 
     Units without metadata or text are dropped, the order of the ranks is kept.

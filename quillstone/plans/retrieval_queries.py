@@ -93,7 +93,7 @@ def d10_prompts(spark: SparkSession, d: str) -> DataFrame:
     q, c = _sides(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("lang").alias("label"), "text")
     queries = q.select("query_id", F.concat(F.lit("query "), F.col("query_id")).alias("query_text"))
-    return T.prompts(T.topk(q, c, 3), queries, docs, 80).select("query_id", "query_text", "prompt", F.array_join("unit_ids", ",").alias("unit_ids"))
+    return T.prompts(T.topk(q, c, 3), queries, docs).select("query_id", "query_text", "prompt", F.array_join("unit_ids", ",").alias("unit_ids"))
 
 
 def _rounded(t: DataFrame, skip=()) -> DataFrame:

@@ -73,3 +73,13 @@ def test_all_char_ngrams_of_three_to_six_letters(spark, tmp_path):
     words = {str(i): {w for w in t.split() if sum(w in u.split() for u in texts) >= 2} for i, t in enumerate(texts)}
     sizes = {q: len(words[q]) + sum(df[x] >= 2 for x in g) for q, g in grams.items()}
     assert {r["query_id"]: r["n"] for r in e.queries()["h3_union"](spark, str(tmp_path)).collect()} == {q: n for q, n in sizes.items() if n}
+
+
+def test_prompts_hold_whole_sources(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(i, f"Quelle {i} " + "wort " * 180 + f"Ende{i}", "de") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = e.queries()["d10_prompts"](spark, str(tmp_path)).collect()
+    assert got and all(f"Ende{u}" in r["prompt"] for r in got for u in r["unit_ids"].split(","))
