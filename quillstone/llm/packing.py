@@ -91,7 +91,7 @@ def fillings(items: list[int], room: int, n: int) -> list[tuple[int, ...]]:
     return sorted(found, key=lambda f: (room - sum(f), len(f)))
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    """Containers as lists of sizes; optimal if they meet the lower bound. Children, pairs and the sizes of fillings are capped, so a search that ends within `nodes` proves nothing."""
     """Containers as lists of sizes; optimal if the search ends within `nodes` or meets the lower bound."""
     best = best_fit_decreasing(sizes, capacity)
     bound = lower_bound(sizes, capacity)
