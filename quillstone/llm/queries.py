@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import crosssplit, mixing, neardup, packing, residue, splits, vectors
-from quillstone.llm.sizes import byte_tokens
+from quillstone.llm.sizes import byte_tokens, character_begins
 from quillstone.sources.tables import table
 
 QUERY_ROWS = "id % 50 = 0"  # the stated query set of searches
@@ -120,7 +120,7 @@ CAPACITY = 4096
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of the parts of one that exceeds the capacity."""
-    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), byte_tokens(F.col("text")), "doc_id", CAPACITY).withColumnRenamed("id", "doc_id")
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), byte_tokens(F.col("text")), "doc_id", CAPACITY, begins=character_begins(F.col("text"), CAPACITY)).withColumnRenamed("id", "doc_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +128,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pack(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("doc_id")
 
 
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold of each document, and whether any of them holds too much."""
+    placed = packing.materialize(p6_pack(spark, d), "placed")
+    over = placed.groupBy("container").agg(F.sum("size").alias("used")).where(F.col("used") > CAPACITY).select(F.col("container").alias("over"))
+    t = placed.join(over, F.col("container") == F.col("over"), "left")
+    # parts follow each other without a gap
+    return t.groupBy("doc_id").agg(F.sum("size").alias("n_tokens"), (F.count(F.lit(1)) == 1).alias("whole"), (F.max(F.col("begin") + F.col("size")) == F.sum("size")).alias("gapless"), F.count("over").alias("n_over_full"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
     return packing.packing_report(p6_pack(spark, d), CAPACITY)
@@ -180,7 +189,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_placed": p6_placed, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -219,6 +228,7 @@ SELECT query_id, CAST(len(any_value(w)) AS INTEGER) AS n_words, CAST(count(pos)
         "p4_found": near.format(words.format("train"), words.format("train"), "x.query_id < y.query_id", "query_id_a", "query_id_b"),
         "p5_found": near.format(words.format("test"), words.format("train"), "true", "test_query_id", "train_query_id"),
         "p3_found": TIED,
+        "p6_placed": "SELECT doc_id, coalesce(strlen(text), 0) AS n_tokens, coalesce(strlen(text), 0) <= 4096 AS whole, true AS gapless, 0 AS n_over_full FROM documents",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
         "p7_found": sizes + " SELECT source FROM z WHERE size * max_repeats < weight * (SELECT sum(size) FROM z)",
     }

@@ -72,6 +72,41 @@ def test_pack_places_everything_once(spark, monkeypatch):
     assert report["fill"] > 0.9 and report["n_items"] == len(got) and report["n_containers"] == len(used)
 
 
+def test_search_improves_on_best_fit_with_many_items_in_a_container():
+    rng = random.Random(5)
+    items = [rng.randint(700, 1400) for _ in range(400)]
+    assert len(packing.bin_completion(items, 4096)) < len(packing.best_fit_decreasing(items, 4096))
+    small = [rng.randint(20, 300) for _ in range(500)]  # a dozen and more in each
+    assert len(packing.bin_completion(small, 4096)) == packing.lower_bound(small, 4096)
+
+
+def test_fillings_are_undominated_and_complete():
+    stock = packing._Stock([7, 5, 4, 3, 2, 2])
+    got = list(packing.fillings(stock, 9, 9, [10**6]))
+    assert got[0] in {(7, 2), (5, 4)} and (7, 2) in got and (5, 4) in got
+    assert all(sum(f) <= 9 for f in got) and len(set(got)) == len(got)
+    assert (4, 3, 2) not in got and (3, 2, 2) not in got  # 7 takes the place of 4 and 3, and of all three
+
+
+def test_very_large_capacities():
+    rng = random.Random(6)
+    items = [rng.randint(1, 10**9) for _ in range(60)]
+    got = packing.bin_completion(items, 10**9)
+    assert sorted(itertools.chain(*got)) == sorted(items) and max(map(sum, got)) <= 10**9
+
+
+def test_long_texts_are_cut_between_characters(spark):
+    text = "aä€😀" * 50
+    rows = [(1, text, "s"), (2, "é" * 7, "s"), (3, None, "s"), (4, "é" * 5, "s")]
+    got = packing.pack(frame(spark, rows), sizes.byte_tokens(F.col("text")), capacity=10, begins=sizes.character_begins(F.col("text"), 10)).orderBy("id", "begin").collect()
+    for i, t, _ in rows:
+        mine = [r for r in got if r["id"] == i]
+        whole = (t or "").encode()
+        assert "".join(whole[r["begin"] : r["begin"] + r["size"]].decode() for r in mine) == (t or "")
+        assert [r["part"] for r in mine] == list(range(len(mine))) and all(r["size"] <= 10 for r in mine)
+    assert len([r for r in got if r["id"] == 4]) == 1
+
+
 def test_pack_empty_and_bad_capacity(spark):
     assert packing.pack(frame(spark, []), sizes.byte_tokens(F.col("text")), capacity=10).count() == 0
     assert packing.packing_report(packing.pack(frame(spark, []), F.col("size"), capacity=10), 10).first()["n_containers"] == 0
