@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.knn(table(spark, d, "embedding_index"), "sentence_id", "embeddings", 5, QUERY_ROWS, probes=None, shortlist=128, n_books=16)
+    return vectors.knn(table(spark, d, "embedding_index"), "sentence_id", "embeddings", 5, QUERY_ROWS)
 
 
 def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of `p2_neighbors` against brute force."""
+    """Recall of `p2_neighbors`, which searches as `p2_found` does, against brute force."""
     exact = vectors.exact_neighbors(table(spark, d, "embedding_index"), "sentence_id", "embeddings", 5, QUERY_ROWS)
     return vectors.recall(_neighbors(spark, d), exact)
 

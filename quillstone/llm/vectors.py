@@ -2,11 +2,16 @@
 
 A vector is approximated by a sum of full-dimensional codewords, one from each of several
 residual codebooks; codes are found by beam search and the squared norm of each
-approximation is stored with them. The first codebooks also name a vector's cell: a query
-is sent to the cells of its own beam, scored there against all members by summing entries of
-its lookup tables, and the shortlist is ranked again by exact cosine. Cells are worked on in
-shards of bounded size; a cell that grows beyond the bound is cut into blocks on both sides.
-Exact copies of a vector are encoded once and expanded at the end.
+approximation is stored with them. The first codebooks also name a vector's cell. How many
+cells a query searches is measured: the exact neighbours of a sample of queries tell in which of
+their cells they lie, and the fewest cells that hold the wanted share are taken.
+
+Cells are gathered in shards of bounded size (a cell beyond it is cut into blocks). A query goes,
+as one byte for each element, to the shards that hold its cells; queries of one shard are
+dealt to several tasks, so that neither side of a task grows with the data. There members are scored
+by sums of lookup-table entries, and the shortlist by the products of the shipped bytes. What may
+still be among the k best is compared exactly, with the vectors themselves. Exact copies of a
+vector are encoded once and expanded at the end.
 """
 
 from __future__ import annotations
@@ -20,11 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.vec import unit
+from quillstone.functions.vec import dot, unit
 from quillstone.operators.retrieval import topk
 from quillstone.session import materialize, tasks
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
+QUERY_ROWS = 16384  # queries of a shard in one task
+BATCH = 512  # queries scored together
+PIECE = 256  # members scored together
 
 
 @dataclass
@@ -34,19 +42,17 @@ class AdditiveQuantizer:
     books: list[np.ndarray]
     cell_books: int = 1
     beam: int = 4
-    grams: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
     norms: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.norms = [(b * b).sum(1) for b in self.books]
-        self.grams = {(i, j): self.books[i] @ self.books[j].T for j in range(len(self.books)) for i in range(j)}
 
     @property
     def cells(self) -> int:
         return math.prod(len(b) for b in self.books[: self.cell_books])
 
     @classmethod
-    def fit(cls, sample: np.ndarray, cell_sizes: list[int], n_books: int, k: int, beam: int = 4, iterations: int = 8, seed: int = 7) -> AdditiveQuantizer:
+    def fit(cls, sample: np.ndarray, cell_sizes: list[int], n_books: int, k: int, beam: int = 4, iterations: int = 5, seed: int = 7) -> AdditiveQuantizer:
         """Residual k-means over the sample, a book at a time."""
         rng = np.random.default_rng(seed)
         left, books = sample.astype(np.float32), []
@@ -57,42 +63,57 @@ class AdditiveQuantizer:
             left = left - book[_nearest(left, book)]
         return cls(books, len(cell_sizes), beam)
 
-    def encode(self, x: np.ndarray, probes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes (n, books), squared norms of the approximations, and each row's best cells (n, probes)."""
-        n, width = len(x), max(self.beam, probes)
-        err = np.zeros((n, 1), np.float32)  # |x - sum|^2 - |x|^2
-        codes = np.zeros((n, 1, 0), np.int32)
-        cells = np.zeros((n, probes), np.int64)
-        for m, book in enumerate(self.books):
-            gain = self.norms[m][None, None, :] - 2 * (x @ book.T)[:, None, :]
-            cost = err[:, :, None] + gain
-            for j in range(m):
-                cost = cost + 2 * self.grams[j, m][codes[:, :, j]]
-            keep = min(width if m < self.cell_books else self.beam, cost.shape[1] * cost.shape[2])
-            flat = cost.reshape(n, -1)
-            top = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.broadcast_to(np.arange(keep), (n, keep))
-            err = np.take_along_axis(flat, top, 1)
-            order = np.argsort(err, axis=1, kind="stable")
-            top, err = np.take_along_axis(top, order, 1), np.take_along_axis(err, order, 1)
+    def encode(self, x: np.ndarray, books: int | None = None, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (n, beam, books), the best first, and |x - sum|^2 - |x|^2 of each."""
+        n, beam = len(x), beam or self.beam
+        left = x[:, None, :]  # what each beam has still to approximate
+        start = (x * x).sum(1)[:, None]
+        err, codes = start, np.zeros((n, 1, 0), np.int32)
+        for m, book in enumerate(self.books[:books]):
+            cost = (err[:, :, None] + self.norms[m] - 2 * (left.reshape(-1, x.shape[1]) @ book.T).reshape(n, -1, len(book))).reshape(n, -1)
+            top, err = _smallest(cost, min(beam, cost.shape[1]))
             parent, code = top // len(book), (top % len(book)).astype(np.int32)
+            left = np.take_along_axis(left, parent[:, :, None], 1) - book[code]
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), code[:, :, None]], 2)
-            if m + 1 == self.cell_books:
-                cell = np.zeros(codes.shape[:2], np.int64)
-                for j in range(self.cell_books):
-                    cell = cell * len(self.books[j]) + codes[:, :, j]
-                cells = np.full((n, probes), -1, np.int64)
-                cells[:, : min(probes, cell.shape[1])] = cell[:, :probes]
-        best = codes[:, 0]
-        approx = sum(b[best[:, m]] for m, b in enumerate(self.books))
-        return best, (approx * approx).sum(1).astype(np.float32), cells
+        return codes, err - start
+
+    def nearest_cells(self, x: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest cells of each row (n, n_cells), the best first, and their |x - centre|^2 - |x|^2."""
+        codes, err = self.encode(x, self.cell_books, n_cells)
+        return self.cell_of(codes), err
+
+    def approximate(self, codes: np.ndarray) -> np.ndarray:
+        return sum(b[codes[:, m]] for m, b in enumerate(self.books))
+
+    def centres(self, cells: np.ndarray) -> np.ndarray:
+        out, rest = np.zeros((len(cells), self.books[0].shape[1]), np.float32), cells.copy()
+        for j in range(self.cell_books - 1, -1, -1):
+            out += self.books[j][rest % len(self.books[j])]
+            rest //= len(self.books[j])
+        return out
 
     def cell_of(self, codes: np.ndarray) -> np.ndarray:
-        cell = np.zeros(len(codes), np.int64)
+        cell = np.zeros(codes.shape[:-1], np.int64)
         for j in range(self.cell_books):
-            cell = cell * len(self.books[j]) + codes[:, j]
+            cell = cell * len(self.books[j]) + codes[..., j]
         return cell
 
 
+def _smallest(cost: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the `keep` smallest of each row are, ascending, and what they are; `cost` is overwritten."""
+    if keep > 8:
+        top = np.argpartition(cost, keep - 1, axis=1)[:, :keep] if keep < cost.shape[1] else np.broadcast_to(np.arange(keep), (len(cost), keep))
+        value = np.take_along_axis(cost, top, 1)
+        order = np.argsort(value, axis=1, kind="stable")
+        return np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+    top, value, row = np.empty((len(cost), keep), np.int64), np.empty((len(cost), keep), cost.dtype), np.arange(len(cost))
+    for j in range(keep):
+        top[:, j] = cost.argmin(1)
+        value[:, j] = cost[row, top[:, j]]
+        cost[row, top[:, j]] = np.inf
+    return top, value
+
+
 def _nearest(x: np.ndarray, book: np.ndarray, block: int = 4096) -> np.ndarray:
     half = 0.5 * (book * book).sum(1)
     return np.concatenate([np.argmax(x[i : i + block] @ book.T - half, 1) for i in range(0, len(x), block)]) if len(x) else np.zeros(0, np.int64)
@@ -113,8 +134,25 @@ def _kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator) ->
     return book
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_list()), np.float32).reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.float32)
+def _units(vecs: pd.Series) -> np.ndarray:
+    raw = np.stack(vecs.to_numpy()).astype(np.float64)
+    return (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _to_bytes(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Rows as one signed byte for each element, and the scale of each row."""
+    scale = np.abs(x).max(1) / 127
+    return [r.tobytes() for r in np.rint(x / scale[:, None]).astype(np.int8)], scale.astype(np.float32)
+
+
+def _from_bytes(col: pd.Series, scale: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_list()), np.int8).reshape(len(col), -1) * scale.to_numpy(np.float32)[:, None]
+
+
+def _ranges(lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lo[i], ..., lo[i] + count[i] - 1 for each i, and i."""
+    which = np.repeat(np.arange(len(lo)), count)
+    return np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), which
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
@@ -126,7 +164,68 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = Non
         row = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
         dim = row["d"] if row else 0
     usable = "size(vec) = {0} AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('inf')) AND exists(vec, x -> x <> 0)".format(dim)
-    return v.where(usable).groupBy("id").agg(F.min("vec").alias("vec"))
+    v = v.where(usable)
+    repeated = materialize(v.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    if repeated.isEmpty():
+        return v  # vectors need no shuffle
+    return v.join(repeated, "id", "left_anti").unionByName(v.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec")))
+
+
+def fit_quantizer(reps: DataFrame, n: int, n_books: int, book_size: int, cell_rows: int, sample_rows: int) -> AdditiveQuantizer:
+    """Codebooks of a sample of `reps` (rid, vec): about `sample_rows` rows, chosen by a hash of the id."""
+    part = max(1, math.ceil(n / sample_rows))
+    rows = reps.where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(part)) == 0).select("rid", "vec").toPandas().sort_values("rid")
+    if rows.empty:
+        rows = reps.limit(1).toPandas()
+    x = _units(rows["vec"])[: 2 * sample_rows]
+    want = max(1, n // cell_rows)
+    top = max(1, min(len(x) // 8, 4096))
+    cell_sizes = [min(want, top)] if want <= 4 * top else [top, max(2, min(book_size, want // top))]
+    return AdditiveQuantizer.fit(x, cell_sizes, max(n_books, len(cell_sizes) + 1), book_size)
+
+
+def measured_probes(coded: DataFrame, shared, n: int, k: int, target_recall: float, sample_queries: int) -> int:
+    """The fewest nearest cells that hold `target_recall` of the k nearest rows of a sample of queries.
+
+    coded: (rid, q, scale, cell). The sample (about `sample_queries` rows, by a hash of the id) is compared
+    with all rows; each task passes on its k best for each query, so that little is shuffled.
+    """
+    part = max(1, math.ceil(n / sample_queries))
+    rows = coded.where(F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(part)) == 0).select("rid", "q", "scale").toPandas().sort_values("rid")[: 2 * sample_queries]
+    if len(rows) < 2:
+        return shared.value.cells
+    ids, x = rows["rid"].to_numpy(np.int64), _from_bytes(rows["q"], rows["scale"])
+    asked = coded.sparkSession.sparkContext.broadcast((ids, x))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = asked.value
+        best, cells = np.full((k, len(ids)), -2, np.float32), np.full((k, len(ids)), -1, np.int64)
+        for b in batches:
+            for i in range(0, len(b), 4096):
+                c = b.iloc[i : i + 4096]
+                s = _from_bytes(c["q"], c["scale"]) @ x.T
+                s[c["rid"].to_numpy(np.int64)[:, None] == ids[None, :]] = -2
+                s = np.concatenate([best, s])
+                of = np.concatenate([cells, np.broadcast_to(c["cell"].to_numpy(np.int64)[:, None], (len(c), len(ids)))])
+                top = np.argpartition(-s, k - 1, axis=0)[:k]
+                best, cells = np.take_along_axis(s, top, 0), np.take_along_axis(of, top, 0)
+        at, who = np.nonzero(cells >= 0)
+        yield pd.DataFrame({"rid": ids[who], "cell": cells[at, who], "s": best[at, who].astype(np.float64)})
+
+    near = coded.select("rid", "q", "scale", "cell").mapInPandas(nearest, "rid long, cell long, s double")
+    w = Window.partitionBy("rid").orderBy(F.desc("s"), "cell")
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toPandas()  # k rows for each query of the sample
+    aq, width = shared.value, 16
+    row = np.searchsorted(ids, near["rid"].to_numpy(np.int64))
+    while True:
+        width = min(width, aq.cells)
+        cells, _ = aq.nearest_cells(x, width)
+        hit = cells[row] == near["cell"].to_numpy(np.int64)[:, None]
+        rank = np.sort(np.where(hit.any(1), hit.argmax(1), width))
+        need = rank[min(len(rank) - 1, math.ceil(target_recall * len(rank)) - 1)] + 1
+        if need <= width or width == aq.cells:
+            return int(min(need, aq.cells))
+        width *= 4
 
 
 def knn(
@@ -136,196 +235,259 @@ def knn(
     k: int = 5,
     query_filter: str | None = None,
     min_similarity: float = -1.0,
-    probes: int | None = 24,
-    shortlist: int = 32,
-    n_books: int = 6,
+    target_recall: float = 0.98,
+    shortlist: int = 160,
+    n_books: int = 12,
     book_size: int = 256,
-    cell_rows: int = 256,
+    cell_rows: int = 128,
     sample_rows: int = 32768,
+    sample_queries: int = 512,
     dim: int | None = None,
 ) -> DataFrame:
     """(query_id, neighbor_id, rank, similarity): for each query row its k most similar other
     rows by cosine, ties to the smaller id, of those with at least `min_similarity`.
 
     Queries are all rows, or those that satisfy `query_filter` (an SQL condition on `id`);
-    all rows are searched. The codebooks are fitted on at most `sample_rows` rows (chosen by
-    a hash of the id); every row is encoded. `probes` cells are searched for each query (None:
-    all of them), `shortlist` members of each are ranked exactly. Which vectors are left out is
-    said in `unit_vectors`; an empty input, or one without usable vectors, gives no rows.
+    all rows are searched. The codebooks are fitted on about `sample_rows` rows (chosen by
+    a hash of the id); every row is encoded. Each query searches the cells that hold `target_recall` of
+    the neighbours of `sample_queries` rows (see `measured_probes`); of each shard it
+    visits, `shortlist` members are compared by their bytes, and what may be among the k best by the vectors
+    themselves. Which vectors are left out is said in `unit_vectors`; an empty input, or one
+    without usable vectors, gives no rows.
     """
     spark = df.sparkSession
     schema = "query_id long, neighbor_id long, rank int, similarity double"
-    v = materialize(unit_vectors(df, id_col, vec_col, dim).withColumn("h", F.xxhash64("vec")), "vectors")
-    asked = F.coalesce(F.bool_or(F.expr(query_filter)), F.lit(False)) if query_filter else F.lit(True)
-    classes = v.groupBy("h", "vec").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"), asked.alias("asked"))  # a class asks if any of its ids does
-    reps = materialize(classes, "vector-classes")
+    v = unit_vectors(df, id_col, vec_col, dim)
+    v = materialize(v.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(17), F.reverse("vec"))}), "vectors")
+    asked = F.coalesce(F.bool_or(F.expr(query_filter)), F.lit(False)) if query_filter else F.lit(True)  # a class asks if any of its ids does
+    reps = materialize(v.groupBy("h1", "h2").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"), asked.alias("asked"), F.first("vec").alias("vec")), "vector-classes")
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], schema)
-
-    part = max(1, math.ceil(n / sample_rows))
-    rows = reps.where(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(part)) == 0).select("rid", "vec").toPandas().sort_values("rid")  # about sample_rows rows
-    x = np.stack(rows["vec"].to_numpy()).astype(np.float64) if len(rows) else np.eye(1, dim or 1)
-    if not len(rows):
-        x = np.array([reps.first()["vec"]], np.float64)
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    x = x[: 2 * sample_rows]
-    want = max(1, n // cell_rows)
-    top = max(1, min(len(x) // 8, 4096))
-    cell_sizes = [min(want, top)] if want <= 4 * top else [top, max(2, min(book_size, want // top))]
-    aq = AdditiveQuantizer.fit(x, cell_sizes, max(n_books, len(cell_sizes) + 1), book_size)
-    n_probes = aq.cells if probes is None else min(probes, aq.cells)
-    shared = spark.sparkContext.broadcast(aq)  # at most (4096 + n_books * book_size) codewords and their Gram tables
+    aq = fit_quantizer(reps, n, n_books, book_size, cell_rows, sample_rows)
+    shared = spark.sparkContext.broadcast(aq)  # at most (4096 + n_books * book_size) codewords
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        step = max(16, (1 << 21) // (max(q.beam, n_probes if n_probes < q.cells else 1) * book_size))
+        aq = shared.value
+        step = max(16, (1 << 20) // (aq.beam * max(len(b) for b in aq.books)))
         for b in batches:
             for i in range(0, len(b), step):
                 part = b.iloc[i : i + step]
-                raw = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-                codes, norms, cells = q.encode(unit, 1 if n_probes == q.cells else n_probes)
-                yield pd.DataFrame(
-                    {
-                        "rid": part["rid"].to_numpy(),
-                        "unit": [r.tobytes() for r in unit],
-                        "codes": [r.tobytes() for r in codes.astype(np.int16)],
-                        "norm": norms,
-                        "cell": q.cell_of(codes),
-                        "probed": list(cells),
-                        "asked": part["asked"].to_numpy(),
-                    }
-                )
-
-    coded = reps.select("rid", "vec", "asked").repartition(max(tasks(spark), n // 16384), "rid").mapInPandas(encode, "rid long, unit binary, codes binary, norm float, cell long, probed array<long>, asked boolean")
+                x = _units(part["vec"])
+                codes = aq.encode(x)[0][:, 0]
+                approx = aq.approximate(codes)
+                q, scale = _to_bytes(x)
+                norm = (approx * approx).sum(1)
+                yield pd.DataFrame({"rid": part["rid"].to_numpy(), "q": q, "scale": scale, "codes": [r.tobytes() for r in codes.astype(np.int16)], "norm": norm, "cell": aq.cell_of(codes), "asked": part["asked"].to_numpy()})
+
+    coded = reps.select("rid", "vec", "asked").repartition(max(tasks(spark), n // 16384)).mapInPandas(encode, "rid long, q binary, scale float, codes binary, norm float, cell long, asked boolean")
     coded = materialize(coded, "vector-codes")
+    probes = measured_probes(coded, shared, n, k, target_recall, sample_queries)
+
+    # shards: cells in order until one is full; a cell beyond the bound has shards of its own. Both tables are bounded by the codebooks.
+    first, blocks, n_shards, room = np.full(aq.cells, -1, np.int64), np.ones(aq.cells, np.int64), 0, 0
+    for r in coded.groupBy("cell").count().orderBy("cell").collect():
+        if r["count"] > SHARD_ROWS:
+            blocks[r["cell"]] = math.ceil(r["count"] / SHARD_ROWS)
+            first[r["cell"]], n_shards, room = n_shards, n_shards + blocks[r["cell"]], 0
+            continue
+        if r["count"] > room:
+            n_shards, room = n_shards + 1, SHARD_ROWS
+        first[r["cell"]] = n_shards - 1
+        room -= r["count"]
+    plan = spark.sparkContext.broadcast((first, blocks))
+
+    def visits(q: pd.Series, scale: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard) for each shard that a row's cells are in; each row's distance to the last of its cells, and the nearest."""
+        aq, (first, blocks) = shared.value, plan.value
+        cells, err = aq.nearest_cells(_from_bytes(q, scale), probes)
+        own = cells[:, 0]
+        row, cell = np.repeat(np.arange(len(cells)), cells.shape[1]), cells.ravel()
+        row, cell = row[first[cell] >= 0], cell[first[cell] >= 0]
+        shard, which = _ranges(first[cell], blocks[cell])
+        both = np.unique(row[which] * n_shards + shard)
+        return both // n_shards, both % n_shards, err[:, -1], own
+
+    step = max(64, (1 << 22) // max(len(aq.books[0]), probes * (book_size if aq.cell_books > 1 else 1)))
+
+    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(n_shards, np.int64)
+        for b in batches:
+            for i in range(0, len(b), step):
+                n += np.bincount(visits(b["q"].iloc[i : i + step], b["scale"].iloc[i : i + step])[1], minlength=n_shards)
+        yield pd.DataFrame({"shard": np.flatnonzero(n), "visits": n[n > 0]})
+
+    asking = coded.where("asked").select("rid", "q", "scale")
+    visited = asking.mapInPandas(count_visits, "shard long, visits long").groupBy("shard").agg(F.sum("visits").alias("visits")).collect()
+    deals = np.ones(n_shards, np.int64)  # tasks that the queries of a shard are dealt to
+    for r in visited:
+        deals[r["shard"]] = math.ceil(r["visits"] / QUERY_ROWS)
+    dealt, before = spark.sparkContext.broadcast(deals), spark.sparkContext.broadcast(np.cumsum(deals) - deals)
+    columns = ["slot", "shard", "deal", "asks", "rid", "q", "scale", "codes", "norm", "cell"]
+    shape = "slot int, shard long, deal long, asks boolean, rid long, q binary, scale float, codes binary, norm float, cell long"
+
+    def send_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, blocks = plan.value
+        for b in batches:
+            cell, rid = b["cell"].to_numpy(np.int64), b["rid"].to_numpy(np.int64)
+            shard = first[cell] + (rid * 40503 % 65537) % blocks[cell]
+            deal, row = _ranges(np.zeros(len(b), np.int64), dealt.value[shard])
+            yield b.iloc[row].assign(slot=before.value[shard[row]] + deal, shard=shard[row], deal=deal, asks=False)[columns]
 
-    # cells beyond SHARD_ROWS members are cut into blocks; how many, is known for each cell (bounded by the codebooks)
-    large = {r["cell"]: math.ceil(r["count"] / SHARD_ROWS) for r in coded.groupBy("cell").count().where(F.col("count") > SHARD_ROWS).collect()}
-    n_shards, at, first = max(1, math.ceil(n / SHARD_ROWS)), 0, {}
-    for c in sorted(large):
-        first[c] = n_shards + at
-        at += large[c] ** 2
-    everywhere = n_probes == aq.cells
-    plan = spark.sparkContext.broadcast((large, first))
-
-    members = coded.select("rid", "unit", "codes", "norm", "cell", F.lit(None).cast("array<long>").alias("probed"), F.lit(False).alias("asks"))
-    asking = coded.where("asked").select("rid", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "cell", "probed", F.lit(True).alias("asks"))
-    q_blocks = max(1, math.ceil(asking.count() / (8 * SHARD_ROWS))) if everywhere else 1
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        large, first = plan.value
+    def send_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            take: list[int] = []
-            shard: list[int] = []
-            cells: list[list[int]] = []
-            for i, (rid, cell, probed, asks) in enumerate(zip(b["rid"], b["cell"], b["probed"], b["asks"])):
-                where: dict[int, list[int]] = {}
-                if everywhere:  # (block of rows, block of queries)
-                    own = (rid * 2654435761 >> 7) % q_blocks
-                    rows = [(cell * 40503 + rid) % n_shards]
-                    pairs = [(m, own) for m in range(n_shards)] if asks else [(rows[0], j) for j in range(q_blocks)]
-                    where = {m * q_blocks + j: [-1] for m, j in pairs}
-                else:
-                    for c in probed if asks else (cell,):
-                        if c < 0:
-                            continue
-                        blocks = large.get(c, 1)
-                        if blocks == 1:
-                            where.setdefault(int(c) % n_shards, []).append(c)
-                            continue
-                        own = (rid * 2654435761 >> 7) % blocks
-                        for j in range(blocks):
-                            m, a = (j, own) if asks else (own, j)
-                            where.setdefault(first[c] + m * blocks + a, []).append(c)
-                for s, cs in where.items():
-                    take.append(i)
-                    shard.append(s)
-                    cells.append(cs)
-            out = b.iloc[take].drop(columns=["probed"])
-            out["cells"], out["shard"] = cells, shard
-            yield out[["shard", "rid", "unit", "codes", "norm", "cell", "cells", "asks"]]
-
-    routed = members.unionByName(asking).mapInPandas(route, "shard long, rid long, unit binary, codes binary, norm float, cell long, cells array<long>, asks boolean")
+            for i in range(0, len(b), step):
+                c = b.iloc[i : i + step]
+                row, shard, reach, own = visits(c["q"], c["scale"])
+                deal = (c["rid"].to_numpy(np.int64)[row] * 2654435761 >> 7) % dealt.value[shard]
+                yield c.iloc[row].assign(slot=before.value[shard] + deal, shard=shard, deal=deal, asks=True, codes=None, norm=reach[row], cell=own[row])[columns]
+
+    routed = coded.select("rid", "q", "scale", "codes", "norm", "cell").mapInPandas(send_members, shape).unionByName(asking.mapInPandas(send_queries, shape))
+    # every (shard, deal) is about as much work as any other, and gets a partition of its own
+    routed = routed.repartitionById(int(deals.sum()), "slot").drop("slot").sortWithinPartitions("shard", "deal", "asks", "cell")  # queries of a cell search much the same cells; work, not bytes, decides
     low = float(min_similarity)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _search_shard(pdf, shared.value, k, shortlist, low, everywhere)
-
-    parts = n_shards * q_blocks + at
-    routed = routed.repartition(max(min(parts, tasks(spark)), parts // 4), "shard")  # work, not bytes, decides
-    near = routed.groupBy("shard").applyInPandas(search, "query_rid long, rid long, similarity double")
-    near = near.groupBy("query_rid", "rid").agg(F.max("similarity").alias("similarity"))
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Members of a shard are held, its queries stream past."""
+        held, key, index = [], None, None
+        for b in batches:
+            change = np.flatnonzero(np.diff(b["shard"].to_numpy()) | np.diff(b["deal"].to_numpy()) | np.diff(b["asks"].to_numpy().astype(int))) + 1
+            for lo, hi in zip([0, *change], [*change, len(b)]):
+                c = b.iloc[lo:hi]
+                if (now := (c["shard"].iloc[0], c["deal"].iloc[0])) != key:
+                    held, key, index = [], now, None
+                if not c["asks"].iloc[0]:
+                    held.append(c)
+                elif held:
+                    index = index or _Shard(pd.concat(held), shared.value)
+                    for i in range(0, len(c), BATCH):
+                        yield index.search(c.iloc[i : i + BATCH], k, shortlist, low)
+
+    near = routed.mapInPandas(search, "query_rid long, rid long, s float")
+    # the k best of all shards by their bytes, and what rounding may hide behind them; then exactly
+    w = Window.partitionBy("query_rid").orderBy(F.desc("s"), "rid")
+    near = near.withColumn("r", F.row_number().over(w)).withColumn("last", F.min(F.when(F.col("r") <= k, F.col("s"))).over(Window.partitionBy("query_rid")))
+    near = near.where(F.col("s") >= F.col("last") - 2 * ROUNDING).select("query_rid", "rid")
+    vecs = reps.select("rid", "vec")
+    near = near.join(vecs, "rid").withColumnRenamed("vec", "y").join(vecs.select(F.col("rid").alias("query_rid"), F.col("vec").alias("x")), "query_rid")
+    x, y = F.col("x"), F.col("y")
+    near = near.select("query_rid", "rid", F.least(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)), F.lit(1.0)).alias("similarity")).where(F.col("similarity") >= low)
     best = Window.partitionBy("query_rid").orderBy(F.desc("similarity"), "rid")
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    near = materialize(near, "vector-neighbors")
-    return _expand(v, reps, near, k, query_filter, low)
-
-
-def _search_shard(pdf: pd.DataFrame, aq: AdditiveQuantizer, k: int, shortlist: int, low: float, everywhere: bool) -> pd.DataFrame:
-    asks = pdf["asks"].to_numpy(bool)
-    mem, qry = pdf[~asks], pdf[asks]
-    empty = pd.DataFrame({"query_rid": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-    if mem.empty or qry.empty:
-        return empty
-    x, norms, ids = _stack(mem["unit"]), mem["norm"].to_numpy(np.float32), mem["rid"].to_numpy(np.int64)
-    codes = np.frombuffer(b"".join(mem["codes"].to_list()), np.int16).reshape(len(mem), -1).astype(np.int64)
-    q, qids = _stack(qry["unit"]), qry["rid"].to_numpy(np.int64)
-    if everywhere:
-        asked = [(np.arange(len(mem)), np.arange(len(q)))]
+    return _expand(v, reps, materialize(near, "vector-neighbors"), k, query_filter, low)
+
+
+ROUNDING = 0.005  # of a product of two rows of bytes, several times its standard deviation
+
+
+class _Shard:
+    """The members of a shard by cell, and the search of queries among them."""
+
+    def __init__(self, members: pd.DataFrame, aq: AdditiveQuantizer) -> None:
+        m = members.sort_values(["cell", "rid"])
+        self.aq, self.ids = aq, m["rid"].to_numpy(np.int64)
+        self.x = _from_bytes(m["q"], m["scale"])
+        codes = np.frombuffer(b"".join(m["codes"].to_list()), np.int16).reshape(len(m), -1).astype(np.int64)
+        self.codes = np.ascontiguousarray(codes.T)
+        self.norm = np.sqrt(np.maximum(m["norm"].to_numpy(np.float32), 1e-6))
+        self.cells, self.at = np.unique(m["cell"].to_numpy(np.int64), return_index=True)
+        self.to = np.append(self.at[1:], len(m))
+        self.centres = aq.centres(self.cells)
+        self.centre_norms = (self.centres * self.centres).sum(1)
+        self.coarse = max(aq.cell_books, -(-2 * len(aq.books) // 3))  # books of the first pass
+        self.first, self.all = (self._missing(codes, n) for n in (self.coarse, len(aq.books)))
+        self.scores = np.empty((int((self.to - self.at).max()), BATCH), np.float32)
+        self.entries = np.empty((PIECE, BATCH), np.float32)
+
+    def _missing(self, codes: np.ndarray, books: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the first codewords have of each member along it, and the length of what they leave out."""
+        part = sum(b[codes[:, j]] for j, b in enumerate(self.aq.books[:books]))
+        along = (self.x * part).sum(1)
+        return along, np.sqrt(np.maximum(0, 1 - 2 * along + (part * part).sum(1)))
+
+    def least_score(self, low: float, missing: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """For each member, the least score of a query of cosine `low`: the member's own part of it, less four
+        standard deviations of what the codewords leave out across the member."""
+        return low * missing[0] - 4 * math.sqrt(1 - low * low) * missing[1] / math.sqrt(self.x.shape[1])
+
+    def _first_pass(self, tables: list[np.ndarray], cell: int) -> np.ndarray:
+        """Sums of lookup-table entries of the coarse books, (members of the cell, queries)."""
+        a, b, n = self.at[cell], self.to[cell], tables[0].shape[1]
+        score = self.scores[: b - a, :n]
+        score[:] = sum(tables[m][self.codes[m, a]] for m in range(self.aq.cell_books))  # the same for all members
+        for m in range(self.aq.cell_books, self.coarse):
+            for i in range(a, b, PIECE):
+                to = min(i + PIECE, b)
+                score[i - a : to - a] += np.take(tables[m], self.codes[m, i:to], axis=0, out=self.entries[: to - i, :n], mode="clip")
+        return score
+
+    def search(self, queries: pd.DataFrame, k: int, shortlist: int, low: float) -> pd.DataFrame:
+        """The k best members of the queries' cells by bytes, with what may tie with them."""
+        q, qids, reach = _from_bytes(queries["q"], queries["scale"]), queries["rid"].to_numpy(np.int64), queries["norm"].to_numpy(np.float32)
+        n = len(q)
+        # a cell that any query of the batch wants is scored for all of them: picking queries costs more than their scores
+        wanted = (self.centre_norms[:, None] - 2 * self.centres @ q.T <= reach[None, :] + 1e-4).any(1)
+        tables = [np.ascontiguousarray(book @ q.T) for book in self.aq.books]  # (codewords, queries)
+        least = self.least_score(min(low, 1.0), self.first) if low > -1 else None
+        every = None if low > -1 else np.full((n, len(self.ids)), -np.inf, np.float32)
+        rows, cols, firsts = [], [], []
+        for c in np.flatnonzero(wanted):
+            a, b = self.at[c], self.to[c]
+            score = self._first_pass(tables, c)
+            if every is not None:
+                every[:, a:b] = score.T
+                continue
+            r, w = np.divmod(np.flatnonzero(score >= least[a:b, None]), n)  # candidates are few
+            rows.append(r + a)
+            cols.append(w)
+            firsts.append(score[r, w])
+        if every is None:
+            row, col, first = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, cols, firsts))
+        else:
+            row, col, first = _best_columns(every, 4 * shortlist)
+        if not len(row):
+            return pd.DataFrame({"query_rid": qids[:0], "rid": self.ids[:0], "s": np.zeros(0, np.float32)})
+        for m in range(self.coarse, len(tables)):  # second pass: the other books
+            first = first + tables[m][self.codes[m, row], col]
+        if every is not None:  # the shortlist by cosine with the approximation
+            every[:] = -np.inf
+            every[col, row] = first / self.norm[row]
+            row, col, _ = _best_columns(every, shortlist)
+        else:
+            ok = first >= self.least_score(min(low, 1.0), self.all)[row]
+            row, col = row[ok], col[ok]
+        ok = self.ids[row] != qids[col]
+        row, col = row[ok], col[ok]
+        sim = np.empty(len(row), np.float32)
+        for i in range(0, len(row), 65536):
+            sim[i : i + 65536] = np.einsum("ij,ij->i", self.x[row[i : i + 65536]], q[col[i : i + 65536]])
+        ok = sim >= low - ROUNDING
+        row, col, sim = row[ok], col[ok], sim[ok]
+        order = np.lexsort((self.ids[row], -sim, col))
+        row, col, sim = row[order], col[order], sim[order]
+        start = np.searchsorted(col, col)
+        last = sim[np.minimum(start + k - 1, np.searchsorted(col, col, side="right") - 1)] if len(sim) else sim
+        ok = sim >= last - 2 * ROUNDING
+        return pd.DataFrame({"query_rid": qids[col[ok]], "rid": self.ids[row[ok]], "s": sim[ok]})
+
+
+def _best_columns(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, row, score) of the `keep` largest finite entries of each row."""
+    if keep < scores.shape[1]:
+        top = np.argpartition(scores, scores.shape[1] - keep, axis=1)[:, -keep:]
     else:
-        cell = mem["cell"].to_numpy(np.int64)
-        order = np.argsort(cell, kind="stable")
-        names, starts = np.unique(cell[order], return_index=True)
-        rows = dict(zip(names.tolist(), np.split(order, starts[1:])))
-        wants = qry["cells"].to_list()
-        of = np.repeat(np.arange(len(q)), [len(w) for w in wants])
-        cells = np.concatenate([np.asarray(w, np.int64) for w in wants])
-        by = np.argsort(cells, kind="stable")
-        names, starts = np.unique(cells[by], return_index=True)
-        asked = [(rows[c], of[part]) for c, part in zip(names.tolist(), np.split(by, starts[1:])) if c in rows]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for m, who in asked:
-        for i in range(0, len(who), 512):
-            found.append(_score(x[m], codes[m], norms[m], ids[m], q[who[i : i + 512]], qids[who[i : i + 512]], aq, k, shortlist, low))
-    if not found:
-        return empty
-    a, b, s = (np.concatenate([f[j] for f in found]) for j in range(3))
-    return pd.DataFrame({"query_rid": a, "rid": b, "similarity": s})
-
-
-def _score(x, codes, norms, ids, q, qids, aq: AdditiveQuantizer, k: int, shortlist: int, low: float):
-    """Lookup-table scores of members x queries, then exact cosines of each query's shortlist."""
-    tables = [book @ q.T for book in aq.books]  # (K, queries)
-    dist = np.repeat(0.5 * norms[:, None], len(q), 1)
-    for m, t in enumerate(tables):
-        dist -= t[codes[:, m]]
-    dist[ids[:, None] == qids[None, :]] = np.inf
-    keep = min(shortlist, len(x))
-    near = np.argpartition(dist, keep - 1, axis=0)[:keep] if keep < len(x) else np.broadcast_to(np.arange(keep)[:, None], (keep, len(q)))
-    row, col = near.ravel(), np.broadcast_to(np.arange(len(q))[None, :], near.shape).ravel()
-    sim = np.empty(len(row), np.float32)
-    for i in range(0, len(row), 65536):
-        sim[i : i + 65536] = np.einsum("ij,ij->i", x[row[i : i + 65536]], q[col[i : i + 65536]])
-    ok = (sim >= low - 1e-4) & (ids[row] != qids[col])
-    row, col, sim = row[ok], col[ok], sim[ok]
-    order = np.lexsort((ids[row], -sim, col))  # the best k of each query, and what rounding may tie with them
-    row, col, sim = row[order], col[order], sim[order]
-    start = np.searchsorted(col, col)
-    rank = np.arange(len(col)) - start
-    last = sim[np.minimum(start + k - 1, len(sim) - 1)] if len(sim) else sim
-    ok = (rank < k) | (sim >= last - 1e-5)
-    row, col = row[ok], col[ok]
-    a, b = x[row].astype(np.float64), q[col].astype(np.float64)
-    exact = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-    return qids[col], ids[row], np.minimum(exact, 1.0)
+        top = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    row = np.repeat(np.arange(len(scores)), top.shape[1])
+    column = top.ravel()
+    score = scores[row, column]
+    ok = np.isfinite(score)
+    return column[ok], row[ok], score[ok]
 
 
 def _expand(v: DataFrame, reps: DataFrame, near: DataFrame, k: int, query_filter: str | None, low: float) -> DataFrame:
     """Neighbours of classes of exact copies as neighbours of rows."""
-    twins = reps.where("copies > 1").select("h", "vec", "rid")
-    doubled = v.join(twins, ["h", "vec"]).select("id", "rid")
+    twins = reps.where("copies > 1").select("h1", "h2", "rid")
+    doubled = v.select("id", "h1", "h2").join(twins, ["h1", "h2"]).select("id", "rid")
     w = Window.partitionBy("rid").orderBy("id")
     some = doubled.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")  # the k + 1 smallest ids of each class
     own = reps.where("copies > 1").select(F.col("rid").alias("query_rid"), "rid", F.lit(1.0).alias("similarity"))
