@@ -8,7 +8,8 @@ need no further look.
 
 Sets that may be similar meet in a block: with words ordered rare first, they share one of their
 first n - ceil(t n) + 1 words, or, where that word is in very many sets, two of their first
-n - ceil(t n) + 2. A block that is still too large is cut into tiles. In a block, sketches are
+n - ceil(t n) + 2, or are both so small that one word is enough. A block that is still too large is cut
+into tiles. Sketches, not words, travel to the blocks, so that a long text sends little. In a block, they are
 stored vertically, a bit plane for each slot with one lane for each set; the distances of a set
 to 64 others advance together through carry-save counters, and a lane word is abandoned once all
 its distances exceed the radius. Surviving pairs are compared exactly.
@@ -130,28 +131,40 @@ def similar_sets(classes: DataFrame, threshold: str = "0.7") -> DataFrame:
     known = spark.sparkContext.broadcast(W.frequent_words(classes))  # bounded, see frequent_words
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The words that may name a block of each set, rare first, and its sketch; the other words stay behind."""
         for b in batches:
             flat, starts = W.flatten(b["words"].to_list())
+            n = np.diff(starts)
+            keys = np.minimum(n, n - W.ceil_share(t, n) + 2)
+            sketch = np.packbits(sketches(flat, starts), axis=1)
             flat = W.rare_first(flat, starts, *known.value)
-            yield pd.DataFrame({"cid": b["cid"], "words": np.split(flat, starts[1:-1]) if len(b) else []})
-
-    ordered = materialize(classes.select("cid", "words").mapInPandas(order, "cid long, words array<long>"), "ordered-sets")
-    n = F.size("words")
-    prefix = n - F.expr(f"CAST((size(words) * {t.numerator}L + {t.denominator - 1}) DIV {t.denominator} AS INT)") + 1
-    posts = ordered.select("cid", n.alias("n"), "words", prefix.alias("p"))
-    posts = posts.select("*", F.explode(F.slice("words", F.lit(1), F.col("p"))).alias("key"))
-    sizes = materialize(posts.groupBy("key").count().where("count > 1"), "block-sizes")
-    posts = posts.join(sizes, "key")  # a word of one set only makes no pair
-    plain = posts.where(F.col("count") <= HOT).select("key", "cid", "n", "words", F.lit(1).alias("tiles"))
-    twice = posts.where((F.col("count") > HOT) & (F.col("n") > 1))  # a set of one word is similar only to itself
-    other = F.explode(F.array_except(F.slice("words", F.lit(1), F.col("p") + 1), F.array("key")))
-    twice = twice.withColumn("other", other).select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(2)).alias("key"), "cid", "n", "words").dropDuplicates(["key", "cid"])
-    both = twice.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    twice = twice.join(both, "key").select("key", "cid", "n", "words", F.ceil(F.col("m") / HOT).cast("int").alias("tiles"))
-    rows = plain.unionByName(twice)
+            yield pd.DataFrame({"cid": b["cid"], "n": n.astype(np.int32), "sketch": [r.tobytes() for r in sketch], "keys": [flat[a : a + k] for a, k in zip(starts[:-1], keys)]})
+
+    ordered = materialize(classes.select("cid", "words").mapInPandas(order, "cid long, n int, sketch binary, keys array<long>"), "ordered-sets")
+    least = F.expr(f"CAST((n * {t.numerator}L + {t.denominator - 1}) DIV {t.denominator} AS INT)")  # ceil(t n)
+    sets = ordered.withColumn("least", least)
+    posts = sets.drop("sketch")
+    posts = posts.select("*", F.explode(F.slice("keys", F.lit(1), F.col("n") - F.col("least") + 1)).alias("key"))
+    sizes = materialize(posts.groupBy("key").count().where("count > 1"), "block-sizes")  # a word of one set only makes no pair
+    hot = materialize(sizes.where(F.col("count") > HOT), "hot-blocks")
+    thin = sets.select("cid", "n", "sketch", "least", F.explode(F.slice("keys", F.lit(1), F.col("n") - F.col("least") + 1)).alias("key"))
+    plain = thin.join(sizes.where(F.col("count") <= HOT), "key").select("key", "cid", "n", "sketch", F.lit(1).alias("tiles"))
+    rows = plain
+    if not hot.isEmpty():
+        # Sets of a hot word meet again in blocks of two words. Of a similar pair that shares one word only,
+        # both sets have ceil(t n) = 1: these few small sets meet under the hot word too, in tiles.
+        small = thin.where("least = 1").join(hot.select("key"), "key")
+        small = small.join(small.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key")
+        small = small.select(F.xxhash64("key", F.lit(1)).alias("key"), "cid", "n", "sketch", F.ceil(F.col("m") / HOT).cast("int").alias("tiles"))
+        twice = posts.where("n > 1").join(hot.select("key"), "key")
+        other = F.explode(F.array_except(F.slice("keys", F.lit(1), F.col("n") - F.col("least") + 2), F.array("key")))
+        twice = twice.withColumn("other", other).select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(2)).alias("key"), "cid").distinct()
+        both = twice.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        twice = twice.join(both, "key").join(ordered.select("cid", "n", "sketch"), "cid").select("key", "cid", "n", "sketch", F.ceil(F.col("m") / HOT).cast("int").alias("tiles"))
+        rows = plain.unionByName(twice).unionByName(small)
     own = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("ti"), F.greatest("own", "with").alias("tj"), "own", "cid", "n", "words")
+    rows = rows.select("key", F.least("own", "with").alias("ti"), F.greatest("own", "with").alias("tj"), "own", "cid", "n", "sketch")
     n_rows = sizes.agg(F.sum("count")).first()[0] or 0
     rows = rows.repartition(max(tasks(spark), n_rows // (4 * CHUNK)), "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "n", "cid")
 
@@ -175,12 +188,17 @@ def similar_sets(classes: DataFrame, threshold: str = "0.7") -> DataFrame:
         if held:
             yield _blocks(pd.concat(held, ignore_index=True), t)
 
-    found = rows.mapInPandas(compare, "a long, b long, similarity double")
-    return materialize(found.dropDuplicates(["a", "b"]), "similar-sets")
+    near = rows.mapInPandas(compare, "a long, b long").distinct()
+    # what the sketches leave open is compared exactly
+    words = classes.select("cid", "words")
+    near = near.join(words.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
+    both = F.size(F.array_intersect("wa", "wb"))
+    near = near.select("a", "b", both.alias("both"), (F.size("wa") + F.size("wb") - both).alias("either"))
+    found = near.where(F.col("both") * t.denominator >= F.col("either") * t.numerator).select("a", "b", (F.col("both") / F.col("either")).alias("similarity"))
+    return materialize(found, "similar-sets")
 
 
 def _blocks(pdf: pd.DataFrame, t: Fraction) -> pd.DataFrame:
-    flat, starts = W.flatten(pdf["words"].to_list())
     sizes, cid, own = pdf["n"].to_numpy(np.int64), pdf["cid"].to_numpy(np.int64), pdf["own"].to_numpy()
     k = pdf[["key", "ti", "tj"]].to_numpy()
     n = len(pdf)
@@ -193,14 +211,11 @@ def _blocks(pdf: pd.DataFrame, t: Fraction) -> pd.DataFrame:
     most = sizes * t.denominator // t.numerator
     wide = int(sizes.max(initial=0)) + 2
     last = np.minimum(np.searchsorted(block * wide + sizes, block * wide + np.minimum(most, wide - 1), side="right"), end)
-    i, j = close_pairs(sketches(flat, starts), sizes, np.arange(n) + 1, last, t)
+    bits = np.unpackbits(np.frombuffer(b"".join(pdf["sketch"].to_list()), np.uint8).reshape(n, -1), axis=1) if n else np.zeros((0, SLOTS), np.uint8)
+    i, j = close_pairs(bits, sizes, np.arange(n) + 1, last, t)
     cross = (k[i, 1] == k[i, 2]) | (own[i] != own[j])
-    i, j = i[cross], j[cross]
-    both = W.overlaps(flat, starts, i, j)
-    either = sizes[i] + sizes[j] - both
-    ok = both * t.denominator >= either * t.numerator
-    i, j = i[ok], j[ok]
-    return pd.DataFrame({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j]), "similarity": both[ok] / either[ok]})
+    i, j = cid[i[cross]], cid[j[cross]]
+    return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: str = "0.7") -> tuple[DataFrame, DataFrame, DataFrame]:

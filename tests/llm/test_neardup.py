@@ -72,6 +72,16 @@ def test_hot_words_are_keyed_twice_and_tiled(spark, monkeypatch):
     assert pairs(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("threshold", ["0.3", "0.5", "0.7", "0.9"])
+def test_no_pair_is_lost_to_hot_words(spark, monkeypatch, threshold):
+    monkeypatch.setattr(neardup, "HOT", 2)
+    rows = texts(120, seed=13, vocabulary=9, length=(1, 5)) + [("a", "alpha"), ("b", "alpha beta"), ("c", "alpha beta gamma"), ("d", "alpha delta")]
+    members, _, found = neardup.near_duplicates(frame(spark, rows), "query_id", "query_text", threshold)
+    s = sets(rows)
+    want = {(min(p, q), max(p, q)) for p, a in s for q, b in s if p != q and similar(a, b, Fraction(threshold))}
+    assert {(r["a"], r["b"]) for r in neardup.duplicate_pairs(members, found).collect()} == want
+
+
 def test_nulls_blanks_copies_and_repeated_rows(spark):
     rows = [("a", "eins zwei drei"), ("b", "Drei, ZWEI eins!"), ("b", "Drei, ZWEI eins!"), ("c", None), ("d", "  "), ("e", "..."), (None, "eins zwei drei"), ("f", "eins"), ("f", "ganz anders hier")]
     assert pairs(spark, rows) == {("a", "b")}
