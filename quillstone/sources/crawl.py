@@ -6,7 +6,6 @@ caller gives, so that it runs without a network in tests. PDF readers are option
 
 from __future__ import annotations
 
-import html
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -16,8 +15,9 @@ from urllib.parse import parse_qs, quote, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.functions.text import COMPLETE_LINKS, PDF_LINKS
+from quillstone.functions import text as X
 
 LEAST_BYTES = 1024
 REPORT = "law string, ok boolean, pdf_path string, search_url string, whole_law_url string, pdf_url string, error string"
@@ -51,19 +51,10 @@ def with_retries(call: Callable, retries: int = 3, backoff: float = 1.0, most: f
             sleep(delay(attempt, backoff, most))
 
 
-def complete_links(page: str) -> list[str]:
-    found = [html.unescape(m) for p in COMPLETE_LINKS for m in re.findall(p, page, re.IGNORECASE | re.DOTALL)]
-    return list(dict.fromkeys(found))
-
-
-def pdf_link(page: str) -> str | None:
-    page = html.unescape(page)
-    at = page.lower().find("andere formate")
-    for window in ([page[at : at + 10000]] if at >= 0 else []) + [page]:
-        for p in PDF_LINKS:
-            if m := re.search(p, window, re.IGNORECASE | re.DOTALL):
-                return html.unescape(m.group(1))
-    return None
+def links(spark: SparkSession, page: str) -> tuple[list[str], str | None]:
+    """The links of a page to complete texts, and its link to a PDF, by the Columns of `functions.text`."""
+    r = spark.createDataFrame([(page,)], "page string").select(X.complete_links(F.col("page")), X.pdf_link(F.col("page"))).first()
+    return list(r[0]), r[1]
 
 
 def parameter(url: str, *names: str) -> str | None:
@@ -75,7 +66,7 @@ def is_pdf(content: bytes) -> bool:
     return len(content) >= LEAST_BYTES and content[:5] == b"%PDF-"
 
 
-def crawl_one(law: str, folder: str, fetch: Callable[[str], bytes], search: str, matches: Callable[[str, str], bool] = lambda law, page: True, overwrite: bool = False, **retry) -> Crawled:
+def crawl_one(spark: SparkSession, law: str, folder: str, fetch: Callable[[str], bytes], search: str, matches: Callable[[str, str], bool] = lambda law, page: True, overwrite: bool = False, **retry) -> Crawled:
     """One label: search, pick the first complete text that `matches`, follow its PDF link, check and store the file.
 
     An existing file that is a PDF is left as it is. Errors are reported, not raised.
@@ -88,12 +79,12 @@ def crawl_one(law: str, folder: str, fetch: Callable[[str], bytes], search: str,
             return r
         get = lambda url: with_retries(lambda: fetch(url), **retry)
         r.search_url = search.format(quote(law))
-        for link in complete_links(get(r.search_url).decode("utf-8", "replace")):
+        for link in links(spark, get(r.search_url).decode("utf-8", "replace"))[0]:
             url = urljoin(r.search_url, link)
             page = get(url).decode("utf-8", "replace")
             if matches(law, page):
                 r.whole_law_url = url
-                if pdf := pdf_link(page):
+                if pdf := links(spark, page)[1]:
                     r.pdf_url = urljoin(url, pdf)
                 break
         if not r.pdf_url:
@@ -115,7 +106,7 @@ def crawl(spark: SparkSession, laws: list[str], folder: str, fetch: Callable[[st
     """The crawl report as a table."""
     rows = []
     for law in laws:
-        rows.append(asdict(crawl_one(law, folder, fetch, search, **how)))
+        rows.append(asdict(crawl_one(spark, law, folder, fetch, search, **how)))
         time.sleep(pause)
     return spark.createDataFrame(rows, REPORT)
 

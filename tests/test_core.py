@@ -248,10 +248,23 @@ def test_generated_queries(spark):
     a = G.queries(t, styles, {"act": ("endet", "beginnt")}, variants=3).collect()
     b = G.queries(t.repartition(3), styles, {"act": ("endet", "beginnt")}, variants=3).collect()
     assert sorted(a) == sorted(b) and len(a) == 12 and len({r["query_id"] for r in a}) == 12
-    assert G.stable_hash("A:issues") == 2247516256
-    r = G.rng(1, "x")
-    assert G.noise("Überprüfung?", r, 0.0) == "Überprüfung?" and all(G.noise("Gebührenpflicht Wörter", G.rng(i), 1.0) for i in range(20))
-    assert {G.hint("x", "L", G.rng(i)) for i in range(40)} == {"x (nach L)", "x - L", "x (gemäß L)", "x unter Bezug auf L"}
+    n = spark.range(300).select(F.col("id").cast("string").alias("k"))
+    got = n.select(
+        G.noise(F.lit("Überprüfung?"), 0.0, 1, F.col("k")).alias("none"),
+        G.noise(F.lit("Die E-Mail aus Österreich: Gebühr?"), 1.0, 1, F.col("k")).alias("some"),
+        G.typo(F.lit("ab Gebühr"), 1, F.col("k")).alias("typo"),
+        G.typo(F.lit("kurz und gut"), 1, F.col("k")).alias("short"),
+        G.hint(F.lit("x"), F.lit("L"), G.draw(1, F.col("k"), "h")).alias("hint"),
+    ).collect()
+    assert {r["none"] for r in got} == {"Überprüfung?"} and {r["short"] for r in got} == {"kurz und gut"}
+    assert {r["hint"] for r in got} == {"x (nach L)", "x - L", "x (gemäß L)", "x unter Bezug auf L"}
+    w = "Gebühr"
+    edits = {w[:j] + w[j + 1 :] for j in range(1, 5)} | {w[: j + 1] + w[j:] for j in range(1, 5)} | {w[: j - 1] + w[j] + w[j - 1] + w[j + 1 :] for j in range(1, 5)}
+    assert {r["typo"] for r in got} == {f"ab {e}" for e in edits}
+    plain = "Die E-Mail aus Österreich: Gebühr?"
+    assert {plain, plain.lower(), plain[:-1], plain.replace("Österreich", "AT"), plain.replace("E-Mail", "Email"), plain.replace("ü", "ue").replace("ö", "oe")} <= {r["some"] for r in got}
+    c = G.queries(t, {"s": ("{scenario}: {issue} {context} {facet}",)}, {}, hint_share=0, noise_share=0, contexts=("in Wien",), scenarios=("Umzug",), facets=("Höhe",)).collect()
+    assert {r["query_text"] for r in c} == {"Umzug: die Gebührenpflicht in Wien Höhe", "Umzug: die Frist in Wien Höhe"}
 
 
 def test_family_training(spark):
@@ -303,7 +316,7 @@ def test_crawl_without_a_network(spark, tmp_path):
     got = {r["law"]: r for r in crawl.crawl(spark, ["A", "flaky", "broken", "none"], str(tmp_path), fetch, "https://x.y/search?q={}", sleep=lambda s: None).collect()}
     assert got["A"]["ok"] and got["flaky"]["ok"] and not got["broken"]["ok"] and "no PDF link" in got["none"]["error"]
     before = calls["https://x.y/files/A.pdf"]
-    assert crawl.crawl_one("A", str(tmp_path), fetch, "https://x.y/search?q={}").ok and calls["https://x.y/files/A.pdf"] == before
+    assert crawl.crawl_one(spark, "A", str(tmp_path), fetch, "https://x.y/search?q={}").ok and calls["https://x.y/files/A.pdf"] == before
     assert [crawl.delay(i, 1, 5) for i in range(4)] == [1, 2, 4, 5] and crawl.parameter("http://a/b?Gesetzesnummer=7", "Gesetzesnummer") == "7"
 
 
