@@ -1,13 +1,14 @@
 """Records of evaluation splits that occur, exactly or almost, in the training split.
 
-The evaluation texts are indexed in shards of bounded size (`fmindex`); the training texts
-stream through backward search over every shard. Two indexes serve two questions.
+The evaluation texts are indexed in shards of bounded size (`fmindex`), written to the shared
+folder. The training texts stream past: each task reads a shard after the other and searches it
+backward for the maximal matches of its texts. Two indexes serve two questions.
 
-Over word sets in rare-first order, matches are merged to counts of shared words of each
-(training, evaluation) pair. Sets of similarity t share two of their first n - ceil(t n) + 2
-words, and one of the runs that their differences leave has a guaranteed length: of both
-conditions the one with the smaller suffix intervals is used, and what meets it is compared
-exactly, so that no similar pair is lost.
+Over word sets in rare-first order, the spans of maximal matches are merged to counts of shared
+words of each (training, evaluation) pair. Sets of similarity t share two of their first
+n - ceil(t n) + 2 words, and one of the runs that their differences leave has a guaranteed length:
+the matches that end in these words, or those of that length, whichever occur less often, lead to
+every similar pair. What they lead to is compared exactly.
 
 Over texts in their own word order, maximal matches of at least five words are located and
 their spans merged, which tells how much of each evaluation text training has seen.
@@ -16,11 +17,12 @@ their spans merged, which tells how much of each evaluation text training has se
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import words as W
@@ -33,20 +35,49 @@ STREAM_ROWS = 32768
 BATCH_VISITS = 1 << 22
 
 
-def _shards(texts: DataFrame, stream: DataFrame, build) -> tuple[DataFrame, int, int]:
-    """Index rows (shard, part, blob), a copy for each part of the stream, and the numbers of shards and parts."""
-    n, m = texts.count(), stream.count()
-    shards = max(1, math.ceil(n / SHARD_SETS))
-    parts = max(1, math.ceil(m / STREAM_ROWS), min(tasks(texts.sparkSession) // shards, m // 4096))
-    built = texts.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
-    built = materialize(built, "fm-index")
-    built = built.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(2 * shards * parts, "shard", "part")
-    return built, shards, parts
+def _shards(texts: DataFrame, build: Callable[[pd.DataFrame], bytes]) -> str:
+    """Index the texts (cid, words) in shards; the folder of the index files."""
+    shards = max(1, math.ceil(texts.count() / SHARD_SETS))
+    blob = lambda pdf: pd.DataFrame({"blob": [build(pdf)]})
+    built = texts.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(blob, "blob binary")
+    return materialize(built, "fm-index")._quillstone_path
 
 
-def _spread_stream(stream: DataFrame, shards: int, parts: int) -> DataFrame:
-    s = stream.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int"))
-    return s.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(2 * shards * parts, "shard", "part")
+def _read_shards(folder: str) -> Iterator[bytes]:
+    """The indexes in a folder that all executors share, one at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with system.open_input_file(f.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
+                    yield batch.column(0)[0].as_py()
+
+
+def _stream(training: DataFrame, folder: str, search: Callable[[bytes, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Stream (cid, words) past all shards: no text is copied, each task reads the shards once for STREAM_ROWS texts."""
+    m = training.count()
+    parts = max(1, math.ceil(m / STREAM_ROWS), min(tasks(training.sparkSession), m // 2048))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def every() -> Iterator[pd.DataFrame]:
+            if held:
+                train = pd.concat(held, ignore_index=True)
+                for blob in _read_shards(folder):
+                    yield search(blob, train)
+
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= STREAM_ROWS:
+                yield from every()
+                held = []
+        yield from every()
+
+    return training.select("cid", "words").repartition(parts).mapInPandas(run, schema)
 
 
 def guaranteed_run(n: int, t: Fraction) -> int:
@@ -62,29 +93,40 @@ def similar_across(evaluation: DataFrame, training: DataFrame, threshold: str =
     t = Fraction(threshold)
     known = evaluation.sparkSession.sparkContext.broadcast(W.frequent_words(evaluation))  # bounded, see frequent_words
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf: pd.DataFrame) -> bytes:
         flat, starts = W.flatten(pdf["words"].to_list())
-        ordered = W.rare_first(flat, starts, *known.value)
-        parts = [pdf["cid"].to_numpy(np.int64).tobytes(), starts.astype(np.int64).tobytes(), flat.astype(np.int64).tobytes(), FMIndex.build(ordered, starts).dumps()]
-        head = np.array([len(p) for p in parts], np.int64).tobytes()
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "blob": [head + b"".join(parts)]})
+        return _pack(pdf["cid"], FMIndex.build(W.rare_first(flat, starts, *known.value), starts))
+
+    def search(blob: bytes, train: pd.DataFrame) -> pd.DataFrame:
+        return _search_sets(*_unpack(blob), train, known.value, t)
+
+    folder = _shards(evaluation.select("cid", "words"), build)
+    return materialize(_stream(training, folder, search, "e long, t long, similarity double"), "cross-pairs")
 
-    index, shards, parts = _shards(evaluation.select("cid", "words"), training, build)
-    stream = _spread_stream(training.select("cid", "words"), shards, parts)
 
-    def search(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if train.empty or held.empty:
-            return pd.DataFrame({"e": np.zeros(0, np.int64), "t": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        blob = held["blob"].iloc[0]
-        cuts = 32 + np.concatenate([[0], np.cumsum(np.frombuffer(blob[:32], np.int64))])
-        cid, starts, flat = (np.frombuffer(blob[cuts[i] : cuts[i + 1]], np.int64) for i in range(3))
-        return _search_sets(FMIndex.loads(blob[cuts[3] : cuts[4]]), cid, starts, flat, train, known.value, t)
+def _pack(cid: pd.Series, fm: FMIndex) -> bytes:
+    ids = cid.to_numpy(np.int64).tobytes()
+    return np.int64(len(ids)).tobytes() + ids + fm.dumps()
 
-    pairs = stream.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(search, "e long, t long, similarity double")
-    return materialize(pairs, "cross-pairs")
 
+def _unpack(blob: bytes) -> tuple[np.ndarray, FMIndex]:
+    n = int(np.frombuffer(blob[:8], np.int64)[0])
+    return np.frombuffer(blob[8 : 8 + n], np.int64), FMIndex.loads(blob[8 + n :])
 
-def _search_sets(fm: FMIndex, cid: np.ndarray, starts: np.ndarray, flat: np.ndarray, train: pd.DataFrame, known, t: Fraction) -> pd.DataFrame:
+
+def _covered(pair: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, and how many positions the union of their spans begin..end - 1 has."""
+    order = np.lexsort((begin, pair))
+    pair, begin, end = pair[order], begin[order], end[order]
+    names, at = np.unique(pair, return_inverse=True)
+    wide = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(end + at * wide) - at * wide  # the farthest end so far in a pair
+    before = np.concatenate([[0], reach[:-1]])
+    before[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]] = 0
+    return names, np.bincount(at, np.maximum(0, end - np.maximum(begin, before)), minlength=len(names)).astype(np.int64)
+
+
+def _search_sets(cid: np.ndarray, fm: FMIndex, train: pd.DataFrame, known, t: Fraction) -> pd.DataFrame:
     tflat, tstarts = W.flatten(train["words"].to_list())
     ordered = W.rare_first(tflat, tstarts, *known)
     n = np.diff(tstarts)
@@ -95,10 +137,9 @@ def _search_sets(fm: FMIndex, cid: np.ndarray, starts: np.ndarray, flat: np.ndar
     need = W.ceil_share(t, n)
     share = np.minimum(2, need)  # of the first n - need + share words, so many are shared
     anchor = pos < (n - need + share)[row]
-    cost = np.bincount(row, (hi - lo) * anchor, minlength=len(n))
-    # the runs: backward search over as many words as one run must have
     sizes, which_size = np.unique(n, return_inverse=True)
     runs = np.array([guaranteed_run(int(x), t) for x in sizes], np.int64)[which_size]
+    # how often the runs occur: backward search over as many words as one run must have
     rlo, rhi, depth = lo.copy(), hi.copy(), 1
     live = np.flatnonzero((hi > lo) & (runs > 1)[row])
     while len(live):
@@ -106,39 +147,43 @@ def _search_sets(fm: FMIndex, cid: np.ndarray, starts: np.ndarray, flat: np.ndar
         rlo[live], rhi[live] = fm.extend(symbol[live - depth], rlo[live], rhi[live])
         live = live[rhi[live] > rlo[live]]
         depth += 1
-    short = pos + 1 < runs[row]
-    rhi[short] = rlo[short]
-    by_run = np.bincount(row, rhi - rlo, minlength=len(n)) < cost
-    use_lo, use_hi = np.where(by_run[row], rlo, lo), np.where(by_run[row], rhi, np.where(anchor, hi, lo))
-    wanted = np.where(by_run, 1, share)
-    size = np.diff(starts)
-    tsketch, esketch = (np.packbits(sketches(a, b), axis=1).view(np.uint64) for a, b in ((tflat, tstarts), (flat, starts)))
-    out_e, out_t, out_s = [], [], []
-    visits = np.cumsum(np.bincount(row, use_hi - use_lo, minlength=len(n))) if len(n) else np.zeros(0)
-    cut = np.searchsorted(visits, np.arange(BATCH_VISITS, (visits[-1] if len(visits) else 0) + BATCH_VISITS, BATCH_VISITS))
-    for a, b in zip(np.concatenate([[0], np.minimum(cut + 1, len(n))[:-1]]).astype(int), np.minimum(cut + 1, len(n)).astype(int)):
-        if b <= a:
-            continue
-        p = slice(tstarts[a], tstarts[b])
-        at, which = spread(use_lo[p], use_hi[p])
-        key = row[p][which] * len(cid) + fm.docs[at]
-        key, count = np.unique(key, return_counts=True)
+    rhi = np.where(pos + 1 < runs[row], rlo, rhi)
+    by_run = np.bincount(row, rhi - rlo, minlength=len(n)) < np.bincount(row, (hi - lo) * anchor, minlength=len(n))
+    ends = np.flatnonzero(np.where(by_run[row], rhi > rlo, anchor & (hi > lo)))
+    end, length, mlo, mhi = fm.maximal(symbol, tstarts[row], np.where(by_run, runs, 1)[row], ends)
+    wanted = np.where(by_run, runs, share)
+    doc_size = fm.size.astype(np.int64)
+    tsketch = np.packbits(sketches(tflat, tstarts), axis=1).view(np.uint64)
+    order = np.argsort(end, kind="stable")
+    end, length, mlo, mhi = end[order], length[order], mlo[order], mhi[order]
+    visits = np.cumsum(np.bincount(row[end], mhi - mlo, minlength=len(n))) if len(n) else np.zeros(0)
+    cut = np.unique(np.minimum(np.searchsorted(visits, np.arange(BATCH_VISITS, (visits[-1] if len(visits) else 0) + BATCH_VISITS, BATCH_VISITS)) + 1, len(n)))
+    out = []
+    for a, b in zip([0, *cut[:-1]], cut):  # training rows a to b - 1
+        m = slice(*np.searchsorted(end, [tstarts[a], tstarts[b]]))
+        at, which = spread(mlo[m], mhi[m])
+        # rows of the suffix array that several matches share are located once
+        rows, back = np.unique(at, return_inverse=True)
+        e = fm.locate(rows)[0][back]
+        stop = pos[end[m]][which] + 1
+        key, count = _covered(row[end[m]][which] * len(cid) + e, stop - length[m][which], stop)
         r, e = key // len(cid), key % len(cid)
-        ok = (count >= wanted[r]) & (size[e] * t.denominator >= n[r] * t.numerator) & (size[e] * t.numerator <= n[r] * t.denominator)
+        ok = (count >= wanted[r]) & (doc_size[e] * t.denominator >= n[r] * t.numerator) & (doc_size[e] * t.numerator <= n[r] * t.denominator)
         r, e = r[ok], e[ok]
+        if not len(r):
+            continue
+        docs, place = np.unique(e, return_inverse=True)
+        flat, starts = fm.words(docs)
+        esketch = np.packbits(sketches(flat, starts), axis=1).view(np.uint64)
         # sketches farther apart than the sets may be need no exact check
-        far = np.bitwise_count(tsketch[r] ^ esketch[e]).sum(1, dtype=np.int64)
-        ok = far * (t.denominator + t.numerator) <= (n[r] + size[e]) * (t.denominator - t.numerator)
-        r, e = r[ok], e[ok]
-        both = W.overlaps(tflat, tstarts, r, e, flat, starts)
-        either = n[r] + size[e] - both
+        far = np.bitwise_count(tsketch[r] ^ esketch[place]).sum(1, dtype=np.int64)
+        ok = far * (t.denominator + t.numerator) <= (n[r] + doc_size[e]) * (t.denominator - t.numerator)
+        r, e, place = r[ok], e[ok], place[ok]
+        both = W.overlaps(tflat, tstarts, r, place, flat, starts)
+        either = n[r] + doc_size[e] - both
         ok = both * t.denominator >= either * t.numerator
-        out_e.append(cid[e[ok]])
-        out_t.append(train["cid"].to_numpy(np.int64)[r[ok]])
-        out_s.append(both[ok] / either[ok])
-    if not out_e:
-        return pd.DataFrame({"e": np.zeros(0, np.int64), "t": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-    return pd.DataFrame({"e": np.concatenate(out_e), "t": np.concatenate(out_t), "similarity": np.concatenate(out_s)})
+        out.append(pd.DataFrame({"e": cid[e[ok]], "t": train["cid"].to_numpy(np.int64)[r[ok]], "similarity": both[ok] / either[ok]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"e": np.zeros(0, np.int64), "t": np.zeros(0, np.int64), "similarity": np.zeros(0)})
 
 
 def overlapping(evaluation: DataFrame, training: DataFrame, id_col: str, text_col: str, threshold: str = "0.7") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -168,32 +213,27 @@ def seen_words(evaluation: DataFrame, training: DataFrame, id_col: str, text_col
     other = training.select(tokens(text_col).alias("words")).where(F.size("words") >= least)
     other = W.set_classes(other.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(17), F.reverse("words"))), "training-text-classes")
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat, starts = W.flatten(pdf["words"].to_list())
-        c = pdf["cid"].to_numpy(np.int64).tobytes()
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "blob": [np.int64(len(c)).tobytes() + c + FMIndex.build(flat, starts).dumps()]})
-
-    index, shards, parts = _shards(texts.select("cid", "words"), other, build)
-    stream = _spread_stream(other.select("cid", "words"), shards, parts)
-
-    def search(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        cols = {"cid": np.zeros(0, np.int64), "begin": np.zeros(0, np.int64), "run": np.zeros(0, np.int64)}
-        if train.empty or held.empty:
-            return pd.DataFrame(cols)
-        blob = held["blob"].iloc[0]
-        k = int(np.frombuffer(blob[:8], np.int64)[0])
-        cid, fm = np.frombuffer(blob[8 : 8 + k], np.int64), FMIndex.loads(blob[8 + k :])
+    def build(pdf: pd.DataFrame) -> bytes:
+        return _pack(pdf["cid"], FMIndex.build(*W.flatten(pdf["words"].to_list())))
+
+    def search(blob: bytes, train: pd.DataFrame) -> pd.DataFrame:
+        cid, fm = _unpack(blob)
         flat, starts = W.flatten(train["words"].to_list())
         _, run, lo, hi = fm.maximal(fm.symbols(flat), np.repeat(starts[:-1], np.diff(starts)), least)
         once = np.unique(np.stack([run, lo, hi]), axis=1)  # many training texts have the same match
         at, which = spread(once[1], once[2])
-        spans = np.unique(np.stack([cid[fm.docs[at]], fm.offsets[at].astype(np.int64), once[0][which]]), axis=1)
-        return pd.DataFrame({"cid": spans[0], "begin": spans[1], "run": spans[2]})
-
-    spans = stream.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(search, "cid long, begin long, run long")
-    spans = spans.groupBy("cid", "begin").agg(F.max("run").alias("run"))  # at most one for each word
-    seen = spans.groupBy("cid").agg(
-        F.expr("size(array_distinct(flatten(collect_list(sequence(begin, begin + run - 1)))))").alias("seen"), F.max("run").cast("int").alias("longest")
-    )
+        rows, back = np.unique(at, return_inverse=True)
+        doc, offset = fm.locate(rows)
+        longest = np.zeros(len(rows), np.int64)
+        np.maximum.at(longest, back, once[0][which])
+        return pd.DataFrame({"cid": cid[doc], "begin": offset, "run": longest})
+
+    folder = _shards(texts.select("cid", "words"), build)
+    spans = _stream(other, folder, search, "cid long, begin long, run long").groupBy("cid", "begin").agg(F.max("run").alias("run"))  # at most one for each word
+    # the union of the spans of a text: what each adds to those that begin before it
+    before = Window.partitionBy("cid").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("begin") + F.col("run")
+    spans = spans.withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(0)))
+    seen = spans.groupBy("cid").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("begin", "reach"))).cast("int").alias("seen"), F.max("run").cast("int").alias("longest"))
     t = own.select("id", "h1", "h2", F.size("words").alias("n_words")).join(texts.select("h1", "h2", "cid"), ["h1", "h2"]).join(seen, "cid", "left")
     return t.select("id", "n_words", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("longest", F.lit(0)).alias("longest"))

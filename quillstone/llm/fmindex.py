@@ -1,8 +1,9 @@
 """A compressed full-text index over sequences of words (64-bit hashes).
 
 The Burrows-Wheeler transform of the concatenated sequences is kept as a wavelet matrix with
-rank counts; patterns are searched backward, many at once. `docs` and `offsets` locate the
-entries of the suffix array.
+rank counts in two levels; patterns are searched backward, many at once. The suffix array is
+sampled: an entry is located by steps backward in the text to a sampled one. The words
+themselves are read back from the transform, so that no copy of the texts is kept.
 """
 
 from __future__ import annotations
@@ -11,13 +12,43 @@ import io
 
 import numpy as np
 
+SAMPLE = 8  # every so many positions of a sequence are sampled, and its first
+SUPER = 512  # words of bits that share a rank count
+
+
+class Bits:
+    """Bits with ranks: a count for each SUPER words, and one of two bytes for each word."""
+
+    def __init__(self, word: np.ndarray, high: np.ndarray | None = None, low: np.ndarray | None = None) -> None:
+        if high is None:
+            total = np.concatenate([[0], np.cumsum(np.bitwise_count(word).astype(np.int64))])[:-1]
+            high = total[::SUPER]
+            low = (total - np.repeat(high, SUPER)[: len(total)]).astype(np.uint16)
+        self.word, self.high, self.low = word, high, low
+
+    @classmethod
+    def of(cls, b: np.ndarray) -> Bits:
+        padded = np.zeros((len(b) // 64 + 1) * 64, np.uint8)
+        padded[: len(b)] = b
+        return cls(np.packbits(padded, bitorder="little").view(np.uint64))
+
+    def ranks(self, at: np.ndarray) -> np.ndarray:
+        """How many bits before each position are set."""
+        w, inside = at >> 6, (at & 63).astype(np.uint64)
+        return self.high[w // SUPER] + self.low[w] + np.bitwise_count(self.word[w] & ((np.uint64(1) << inside) - np.uint64(1))).astype(np.int64)
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        return ((self.word[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
 
 class FMIndex:
-    def __init__(self, **parts: np.ndarray) -> None:
-        self.__dict__.update(parts)
-        self._starts()
+    PARTS = ("vocabulary", "first", "zeros", "doc", "offset", "ends", "size")
 
-    PARTS = ("vocabulary", "first", "bits", "ranks", "zeros", "docs", "offsets")
+    def __init__(self, levels: list[Bits], marks: Bits, **parts: np.ndarray) -> None:
+        self.levels, self.marks = levels, marks
+        self.__dict__.update(parts)
+        n = len(self.vocabulary) + 1
+        self._begin = self._descend(np.arange(n), np.zeros(n, np.int64))
 
     @classmethod
     def build(cls, flat: np.ndarray, starts: np.ndarray) -> FMIndex:
@@ -33,18 +64,18 @@ class FMIndex:
         order = cls._suffixes(text, int(sizes.max(initial=0)) + 1)
         bwt = text[order - 1]
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(vocabulary) + 1))])
-        levels = max(1, int(len(vocabulary)).bit_length())
-        bits, ranks, zeros = [], [], []
-        for level in range(levels - 1, -1, -1):
+        depth = max(1, int(len(vocabulary)).bit_length())
+        levels, zeros = [], []
+        for level in range(depth - 1, -1, -1):
             b = ((bwt >> level) & 1).astype(np.uint8)
-            padded = np.zeros((len(b) // 64 + 1) * 64, np.uint8)
-            padded[: len(b)] = b
-            word = np.packbits(padded, bitorder="little").view(np.uint64)
-            bits.append(word)
-            ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word).astype(np.int64))])[:-1].astype(np.int32))
+            levels.append(Bits.of(b))
             zeros.append(len(b) - int(b.sum()))
             bwt = np.concatenate([bwt[b == 0], bwt[b == 1]])
-        return cls(vocabulary=vocabulary, first=first, bits=np.array(bits), ranks=np.array(ranks), zeros=np.array(zeros, np.int64), docs=doc[order].astype(np.int32), offsets=offset[order].astype(np.int32))
+        sampled = offset[order] % SAMPLE == 0
+        ends = np.empty(n_docs, np.int32)
+        last = np.flatnonzero(offset[order] == sizes[doc[order]])
+        ends[doc[order][last]] = last
+        return cls(levels, Bits.of(sampled.astype(np.uint8)), vocabulary=vocabulary, first=first, zeros=np.array(zeros, np.int64), doc=doc[order][sampled].astype(np.int32), offset=offset[order][sampled].astype(np.int32), ends=ends, size=sizes.astype(np.int32))
 
     @staticmethod
     def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -66,17 +97,50 @@ class FMIndex:
             width *= 2
         return order
 
-    def _starts(self) -> None:
-        self._begin = self._descend(np.arange(len(self.vocabulary) + 1), np.zeros(len(self.vocabulary) + 1, np.int64))
-
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        levels = len(self.zeros)
-        for k in range(levels):
-            word, low = at >> 6, (at & 63).astype(np.uint64)
-            ones = self.ranks[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-            at = np.where((symbol >> (levels - 1 - k)) & 1 == 1, self.zeros[k] + ones, at - ones)
+        for k, bits in enumerate(self.levels):
+            ones = bits.ranks(at)
+            at = np.where((symbol >> (len(self.levels) - 1 - k)) & 1 == 1, self.zeros[k] + ones, at - ones)
         return at
 
+    def back(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol before each suffix, and the row of the suffix that begins with it."""
+        symbol, at = np.zeros(len(row), np.int64), row
+        for k, bits in enumerate(self.levels):
+            bit, ones = bits.at(at), bits.ranks(at)
+            symbol = symbol * 2 + bit
+            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
+        return symbol, self.first[symbol] + at - self._begin[symbol]
+
+    def locate(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence of each suffix and its position there."""
+        row = row.astype(np.int64)
+        doc, offset, steps = np.empty(len(row), np.int64), np.empty(len(row), np.int64), 0
+        left = np.arange(len(row))
+        while len(left):
+            known = self.marks.at(row) == 1
+            at = self.marks.ranks(row[known])
+            doc[left[known]], offset[left[known]] = self.doc[at], self.offset[at] + steps
+            left, row = left[~known], row[~known]
+            if len(left):
+                _, row = self.back(row)
+            steps += 1
+        return doc, offset
+
+    def words(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of these sequences, flat, and where each begins (one more entry than sequences); last word first."""
+        row, who = self.ends[docs].astype(np.int64), np.arange(len(docs))
+        of, found = [], []
+        while len(who):
+            symbol, row = self.back(row)
+            go = symbol > 0
+            who, row = who[go], row[go]
+            of.append(who)
+            found.append(self.vocabulary[symbol[go] - 1])
+        of = np.concatenate(of) if of else who
+        found = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return found[np.argsort(of, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(docs)))])
+
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """The words' symbols; -1 for words that the index doesn't have."""
         if not len(self.vocabulary):
@@ -97,25 +161,26 @@ class FMIndex:
         dead = (symbol < 0) | (lo >= hi)
         return np.where(dead, 0, base + both[: len(s)]), np.where(dead, 0, base + both[len(s) :])
 
-    def maximal(self, symbols: np.ndarray, row_start: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Matches (end position, length, lo, hi) of at least `least` words that are maximal to the
-        left for some indexed sequence.
+    def maximal(self, symbols: np.ndarray, row_start: np.ndarray, least: int | np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Matches (end position, length, lo, hi) that are maximal to the left for some indexed sequence, of at
+        least `least` words (of one number, or one for each position).
 
-        row_start[i] is where the pattern of position i begins. For every end position the match is
-        extended to the left as far as it occurs; it is reported at each length beyond which some of
-        its occurrences end, so that a sequence that has only a part of the longest match gets its own.
+        row_start[i] is where the pattern of position i begins; `ends` are the end positions wanted (default: all).
+        For every end position the match is extended to the left as far as it occurs; it is reported at each
+        length beyond which some of its occurrences end, so that a sequence that has only a part of the
+        longest match gets its own.
         """
-        end = np.arange(len(symbols))
         lo, hi = self.start(symbols)
+        least = np.broadcast_to(least, len(symbols))
         found = []
-        at, length = end[hi > lo], 1
+        at = np.arange(len(symbols)) if ends is None else ends
+        at, length = at[hi[at] > lo[at]], 1
         while len(at):
             left = at - length
             can = left >= row_start[at]
             a, b = self.extend(np.where(can, symbols[np.maximum(left, 0)], -1), lo[at], hi[at])
-            if length >= least:
-                ends = at[b - a < hi[at] - lo[at]]
-                found.append((ends, np.full(len(ends), length), lo[ends], hi[ends]))
+            done = (b - a < hi[at] - lo[at]) & (length >= least[at])
+            found.append((at[done], np.full(done.sum(), length), lo[at[done]], hi[at[done]]))
             go = b > a
             at = at[go]
             lo[at], hi[at] = a[go], b[go]
@@ -125,13 +190,17 @@ class FMIndex:
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{p: getattr(self, p) for p in self.PARTS})
+        vectors = [self.marks, *self.levels]
+        bits = {f"{name}{i}": getattr(v, name) for i, v in enumerate(vectors) for name in ("word", "high", "low")}
+        np.savez_compressed(out, **{p: getattr(self, p) for p in self.PARTS}, **bits)
         return out.getvalue()
 
     @classmethod
     def loads(cls, blob: bytes) -> FMIndex:
         z = np.load(io.BytesIO(blob))
-        return cls(**{p: z[p] for p in cls.PARTS})
+        n = sum(k.startswith("word") for k in z.files)
+        marks, *levels = (Bits(z[f"word{i}"], z[f"high{i}"], z[f"low{i}"]) for i in range(n))
+        return cls(levels, marks, **{p: z[p] for p in cls.PARTS})
 
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

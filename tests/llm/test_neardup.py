@@ -153,11 +153,27 @@ def test_fm_index_counts_and_locates():
         lo, hi = fm.start(s[-1:])
         for c in s[-2::-1]:
             lo, hi = fm.extend(np.array([c]), lo, hi)
-        got = sorted(zip(fm.docs[lo[0] : hi[0]].tolist(), fm.offsets[lo[0] : hi[0]].tolist()))
+        doc, offset = fm.locate(np.arange(lo[0], hi[0]))
+        got = sorted(zip(doc.tolist(), offset.tolist()))
         want = [(d, i) for d, w in enumerate(docs) for i in range(len(w) - len(p) + 1) if (w[i : i + len(p)] == p).all()]
         assert got == sorted(want)
 
 
+def test_fm_index_gives_its_texts_back_and_is_compressed():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 300, rng.integers(0, 30)).astype(np.int64) * 104729 for _ in range(500)]
+    flat, starts = words.flatten(docs)
+    fm = FMIndex.loads(FMIndex.build(flat, starts).dumps())
+    got, at = fm.words(np.arange(len(docs)))
+    assert all((got[at[i] : at[i + 1]][::-1] == d).all() and at[i + 1] - at[i] == len(d) for i, d in enumerate(docs))
+    assert len(fm.dumps()) < 4 * len(flat)  # of 8 bytes for each word, and with what locates them
+
+
+def test_spans_are_merged():
+    names, n = crosssplit._covered(np.array([3, 1, 3, 3]), np.array([0, 2, 1, 7]), np.array([4, 3, 2, 9]))
+    assert names.tolist() == [1, 3] and n.tolist() == [1, 6]
+
+
 def across(spark, rows, other):
     e, t, found = crosssplit.overlapping(frame(spark, rows), frame(spark, other), "query_id", "query_text")
     e, t = e.withColumnRenamed("id", "p").withColumnRenamed("cid", "e"), t.withColumnRenamed("id", "q").withColumnRenamed("cid", "t")
