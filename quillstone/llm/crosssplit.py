@@ -116,14 +116,15 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, FMIndex]:
 
 def _covered(pair: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different pairs, and how many positions the union of their spans begin..end - 1 has."""
-    order = np.lexsort((begin, pair))
-    pair, begin, end = pair[order], begin[order], end[order]
-    names, at = np.unique(pair, return_inverse=True)
     wide = int(end.max(initial=0)) + 1
+    order = np.argsort(pair * wide + begin)
+    pair, begin, end = pair[order], begin[order], end[order]
+    new = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
+    names, at = pair[new], np.cumsum(new) - 1
     reach = np.maximum.accumulate(end + at * wide) - at * wide  # the farthest end so far in a pair
     before = np.concatenate([[0], reach[:-1]])
-    before[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]] = 0
-    return names, np.bincount(at, np.maximum(0, end - np.maximum(begin, before)), minlength=len(names)).astype(np.int64)
+    before[: len(new)][new] = 0
+    return names, np.bincount(at, np.maximum(0, end - np.maximum(begin, before[: len(at)])), minlength=len(names)).astype(np.int64)
 
 
 def _search_sets(cid: np.ndarray, fm: FMIndex, train: pd.DataFrame, known, t: Fraction) -> pd.DataFrame:
@@ -165,10 +166,13 @@ def _search_sets(cid: np.ndarray, fm: FMIndex, train: pd.DataFrame, known, t: Fr
         # rows of the suffix array that several matches share are located once
         rows, back = np.unique(at, return_inverse=True)
         e = fm.locate(rows)[0][back]
+        of = row[end[m]][which]
+        ok = (doc_size[e] * t.denominator >= n[of] * t.numerator) & (doc_size[e] * t.numerator <= n[of] * t.denominator)
+        of, e, which = of[ok], e[ok], which[ok]
         stop = pos[end[m]][which] + 1
-        key, count = _covered(row[end[m]][which] * len(cid) + e, stop - length[m][which], stop)
+        key, count = _covered(of * len(cid) + e, stop - length[m][which], stop)
         r, e = key // len(cid), key % len(cid)
-        ok = (count >= wanted[r]) & (doc_size[e] * t.denominator >= n[r] * t.numerator) & (doc_size[e] * t.numerator <= n[r] * t.denominator)
+        ok = count >= wanted[r]
         r, e = r[ok], e[ok]
         if not len(r):
             continue
