@@ -1,18 +1,18 @@
 """Mixtures of sources that meet target weights by size.
 
-The weights come from temperature mixing: source shares of all tokens are raised to an exponent,
-found by bisection, that gives the mixture a wanted entropy or keeps every source within its
-repetitions. Where target weights are given they hold, except for sources that would have to
-repeat too often: these give what they have, and the remainder goes to the others by weights
-tempered to the entropy of their targets. Weights are realised as budgeted block permutations:
-each pass over a source is a permutation of its blocks, and of the records in them, by a hash; the
-last pass stops in the block where the budget ends. Only block sums are ever ordered, not records.
+Temperature mixing raises shares to an exponent, found by bisection, that gives the mixture a wanted
+entropy or keeps every source within its repetitions. Where target weights are given, each source first
+gets its weight as far as its repetitions allow. What is then missing goes to sources that can give
+more, by their token shares raised to the exponent that brings the entropy of the whole mixture
+nearest to that of the targets. Weights are realised as budgeted block permutations: each pass over a
+source is a permutation of its blocks, and of the records in them, by a hash; the last pass stops in
+the block where the budget ends. Only sums of blocks are ever ordered, in groups of bounded size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +59,22 @@ def find_exponent(shares: list[float], wanted_entropy: float | None = None, limi
     return hi
 
 
+def nearest_exponent(mixture: Callable[[float], list[float]], wanted: float, steps: int = 40) -> float:
+    """The exponent in [0, 1] for which the entropy of mixture(exponent) is nearest to the wanted one.
+
+    Between two points of a grid where the entropy crosses it, bisection; where it never does, the nearest point.
+    """
+    grid = [i / 16 for i in range(17)]
+    off = [entropy(mixture(e)) - wanted for e in grid]
+    for lo, hi, a, b in zip(grid, grid[1:], off, off[1:]):
+        if a * b < 0:
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (entropy(mixture(mid)) - wanted) * a > 0 else (lo, mid)
+            return hi
+    return min(zip((abs(x) for x in off), grid))[1]
+
+
 def fit_weights(sizes: Mapping[str, int], targets: Mapping[str, tuple[float, float]], budget: float | None = None) -> dict[str, float]:
     """Tokens that each source gives to a mixture of `budget` tokens (default: all tokens of the sources).
 
@@ -75,13 +91,19 @@ def fit_weights(sizes: Mapping[str, int], targets: Mapping[str, tuple[float, flo
     if not total or not budget or not sum_w:
         return {n: 0.0 for n in names}
     given = {n: min(weights[n] / sum_w * budget, most[n]) for n in names}
-    for _ in range(4 * len(names)):
+    wanted = entropy([weights[n] / sum_w for n in names])
+    for _ in range(4 * len(names)):  # each round exhausts the rest or a source
         rest = budget - sum(given.values())
         free = [n for n in names if weights[n] > 0 and most[n] - given[n] > 1e-9 * budget]
         if rest <= 1e-9 * budget or not free:
             break
-        shares = [weights[n] / sum(weights[f] for f in free) for n in free]
-        for n, p in zip(free, tempered(shares, find_exponent(shares, entropy(shares)))):
+        shares = [size[n] / sum(size[f] for f in free) for n in free]
+
+        def mixture(e: float) -> list[float]:
+            more = dict(zip(free, tempered(shares, e)))
+            return [(given[n] + rest * more.get(n, 0.0)) / budget for n in names]
+
+        for n, p in zip(free, tempered(shares, nearest_exponent(mixture, wanted))):
             given[n] = min(most[n], given[n] + rest * p)
     return given
 
@@ -115,45 +137,59 @@ def source_sizes(docs: DataFrame, targets: DataFrame, size: Column, source_col:
     return t.join(s, "source", "left").select("source", "weight", "max_repeats", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
 
-def out_of_reach(sizes: DataFrame) -> DataFrame:
-    """(source): sources that can't give their weight of the total size even when repeated as often as allowed."""
-    total = sizes.agg(F.sum("size").alias("total"))
-    return sizes.crossJoin(F.broadcast(total)).where(F.col("size") * F.col("max_repeats") < F.col("weight") * F.col("total")).select("source")  # total: one row
+def mix_plan(sizes: DataFrame, budget: float | None = None) -> DataFrame:
+    """`sizes` with what each source gives (planned, in tokens) and whether its repetitions hold it below its weight (held)."""
+    rows = sizes.limit(MOST_SOURCES + 1).collect()  # one for each row of the target table
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} target sources")
+    given = fit_weights({r["source"]: r["size"] for r in rows}, {r["source"]: (r["weight"], r["max_repeats"]) for r in rows}, budget)
+    full = {r["source"]: r["size"] * max(0, r["max_repeats"]) for r in rows}
+    out = [(r["source"], r["weight"], r["max_repeats"], r["size"], float(given[r["source"]]), given[r["source"]] >= full[r["source"]] * (1 - 1e-9)) for r in rows]
+    return sizes.sparkSession.createDataFrame(out, "source string, weight double, max_repeats int, size long, planned double, held boolean")
+
+
+def out_of_reach(plan: DataFrame) -> DataFrame:
+    """(source): of the sources that the plan of a mixture of all tokens repeats as often as allowed, those whose weight asks for
+    more than that (an exact check)."""
+    total = plan.agg(F.sum("size").alias("total"))
+    return plan.where("held").crossJoin(F.broadcast(total)).where(F.col("size") * F.col("max_repeats") < F.col("weight") * F.col("total")).select("source")  # total: one row
 
 
 def mix(docs: DataFrame, sizes: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", budget: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The mixture (id, source, copy, block, at, tokens) and the plan (source, weight, max_repeats, size, planned).
+    """The mixture (id, source, copy, block, nth, at, tokens) and the plan (source, weight, max_repeats, size, planned, held).
 
-    copy numbers the passes over a source from 1; `block` and `at` give the place of a record in a
-    pass. Records of size 0, or of a source that is no target, are not mixed. A source falls short of
-    its plan by less than its largest record.
+    copy numbers the passes over a source from 1. Ordered by (copy, nth, at) the records of a source are
+    in the order of the mixture: nth is the place of their block in the pass, `at` orders them within it.
+    Records of size 0, or of a source that is no target, are not mixed. A source falls short of its plan by
+    less than its largest record.
     """
-    spark = docs.sparkSession
-    rows = sizes.limit(MOST_SOURCES + 1).collect()  # one for each row of the target table
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} target sources")
-    given = fit_weights({r["source"]: r["size"] for r in rows}, {r["source"]: (r["weight"], r["max_repeats"]) for r in rows}, budget)
-    plan = spark.createDataFrame([(r["source"], r["weight"], r["max_repeats"], r["size"], float(given[r["source"]])) for r in rows], "source string, weight double, max_repeats int, size long, planned double")
+    plan = mix_plan(sizes, budget)
     d = docs.select(F.col(id_col).alias("id"), source_name(source_col).alias("source"), size.alias("tokens")).where("tokens > 0")
     live = plan.where("size > 0 AND planned > 0").select("source", F.floor(F.col("planned") / F.col("size")).cast("int").alias("full"), (F.col("planned") - F.floor(F.col("planned") / F.col("size")) * F.col("size")).alias("rest"))
     d = d.join(F.broadcast(live), "source")  # at most MOST_SOURCES rows
     d = materialize(d, "mix-records")  # texts are read once
     counts = d.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))  # at most as many
     d = materialize(d.join(F.broadcast(counts), "source").withColumn("block", F.pmod(F.xxhash64("id", "tokens"), F.col("blocks")).cast("int")).drop("blocks"), "mix-blocks")
-    # the last, partial pass: whole blocks in the order of a hash while they fit, then a part of one block
+    # blocks in the order of a hash for each pass; ranges of the hash make groups of about BLOCK_ROWS blocks, so that
+    # neither the groups of a source nor the blocks of a group are many
     sums = d.groupBy("source", "block", "full", "rest").agg(F.sum("tokens").alias("held"))
-    order = F.xxhash64("source", "block", F.col("full") + 1)
-    before = Window.partitionBy("source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).select("source", "block", "before", (F.col("before") + F.col("held") <= F.col("rest")).alias("fits"), ((F.col("before") < F.col("rest"))).alias("begins"))
-    d = d.join(cut, ["source", "block"])
-    at = F.xxhash64("id", "tokens", F.col("full") + 1)
-    edge = d.where("begins AND NOT fits")  # one block of each source
-    upto = Window.partitionBy("source", "block").orderBy(at, "id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(upto)).withColumn("last", F.col("upto") <= F.col("rest")).drop("upto")
-    rest = d.where("NOT (begins AND NOT fits)").withColumn("last", F.col("fits"))
-    every = rest.unionByName(edge).withColumn("copies", F.col("full") + F.col("last").cast("int")).where("copies > 0")
-    mixed = every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select("id", "source", "copy", "block", F.xxhash64("id", "tokens", "copy").alias("at"), "tokens"), plan
+    sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("full") + 1)))
+    sums = sums.withColumn("key", F.pmod(F.xxhash64("source", "block", "copy"), F.lit(1 << 40)))
+    groups = counts.select("source", F.ceil(F.col("blocks") / BLOCK_ROWS).alias("groups"))
+    sums = sums.join(F.broadcast(groups), "source").withColumn("group", F.floor(F.col("key") * F.col("groups") / F.lit(float(1 << 40))))
+    of_group = sums.groupBy("source", "copy", "group").agg(F.sum("held").alias("g_held"), F.count(F.lit(1)).alias("g_blocks"))
+    earlier = Window.partitionBy("source", "copy").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    of_group = of_group.select("source", "copy", "group", F.coalesce(F.sum("g_held").over(earlier), F.lit(0)).alias("g_before"), F.coalesce(F.sum("g_blocks").over(earlier), F.lit(0)).alias("g_nth"))
+    inner = Window.partitionBy("source", "copy", "group").orderBy("key", "block")
+    before = F.col("g_before") + F.coalesce(F.sum("held").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.join(of_group, ["source", "copy", "group"]).select("source", "block", "copy", "full", "rest", "held", before.alias("before"), (F.col("g_nth") + F.row_number().over(inner)).alias("nth"))
+    partial = F.col("copy") > F.col("full")  # the last pass: whole blocks while they fit, then a part of one
+    cut = sums.where(~partial | (F.col("before") < F.col("rest"))).select("source", "block", "copy", "before", "nth", (partial & (F.col("before") + F.col("held") > F.col("rest"))).alias("edge"))
+    d = d.join(cut, ["source", "block"]).withColumn("at", F.xxhash64("id", "tokens", "copy"))
+    upto = Window.partitionBy("source", "block").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = d.where("edge").withColumn("upto", F.col("before") + F.sum("tokens").over(upto)).where(F.col("upto") <= F.col("rest")).drop("upto")  # one block of each source
+    mixed = d.where("NOT edge").unionByName(edge)
+    return mixed.select("id", "source", "copy", "block", "nth", "at", "tokens"), plan
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import crosssplit, mixing, neardup, packing, residue, splits, vectors
 from quillstone.llm.sizes import byte_tokens, character_begins
+from quillstone.session import shared_dir
 from quillstone.sources.tables import table
 
 QUERY_ROWS = "id % 50 = 0"  # the stated query set of searches
@@ -42,14 +44,19 @@ def _splits(spark: SparkSession, d: str, parts: int = 1) -> splits.SplitTable:
         return t
     late = F.coalesce(F.col("created_at") >= F.lit("2025-01-01").cast("timestamp") + F.expr("INTERVAL 180 DAYS"), F.lit(True))
     t.update(train.where(~late))
+    path = f"{shared_dir(spark)}/quillstone/split-table-{uuid.uuid4().hex}"  # a later job takes the next delivery
+    t.save(path)
+    t = splits.SplitTable.load(spark, path)
     t.update(train.where(late))
     return t
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of topics that must share a split."""
-    pairs = splits.tied_pairs(_splits(spark, d).topics)
-    return pairs.select(F.col("a").alias("topic_no_a"), F.col("b").alias("topic_no_b"))
+    """Pairs of topics that must share a split: the topics of a component, which are few."""
+    topics = splits.SplitTable(spark).tie(table(spark, d, "train"))
+    some = topics.join(topics.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "root")
+    a, b = some.select("root", F.col("node").alias("topic_no_a")), some.select("root", F.col("node").alias("topic_no_b"))
+    return a.join(b, "root").where("topic_no_a < topic_no_b").select("topic_no_a", "topic_no_b")
 
 
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
@@ -62,15 +69,32 @@ def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d, 2).units
 
 
-def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and share of each split, by law and overall (null law: all)."""
-    t = _splits(spark, d)
-    rows = table(spark, d, "train").select(F.col("query_id").alias("id"), F.trim("consensus_law").alias("law")).join(t.assignments(), "id")
+def _shares(t: splits.SplitTable, train: DataFrame) -> DataFrame:
+    rows = train.select(F.col("query_id").alias("id"), F.trim("consensus_law").alias("law")).join(t.assignments(), "id")
     n = rows.groupBy("law", "split").count().withColumn("of", F.lit("law")).unionByName(rows.groupBy("split").count().select(F.lit(None).cast("string").alias("law"), "split", "count", F.lit("all").alias("of")))
     w = Window.partitionBy("of", "law")
     return n.select("of", "law", "split", F.col("count").alias("n_rows"), F.round(F.col("count") / F.sum("count").over(w), 6).alias("share"))
 
 
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and share of each split, by law and overall (null law: all), after one and after two deliveries; the latter have quarantined rows."""
+    train = table(spark, d, "train")
+    one = _shares(_splits(spark, d), train).withColumn("deliveries", F.lit(1))
+    return one.unionByName(_shares(_splits(spark, d, 2), train).withColumn("deliveries", F.lit(2)))
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each training record, whether all records tied with it share its split; and whether all shares are within a hundredth."""
+    t, train = _splits(spark, d), table(spark, d, "train")
+    of = packing.materialize(t.assignments(), "assignments")
+    topic = train.select(F.col("query_id").alias("id"), F.explode(splits.topic_numbers("topic_id")).alias("topic")).distinct().join(of, "id")
+    torn = topic.groupBy("topic").agg(F.count_distinct("split").alias("n")).where("n > 1").select("topic")
+    torn = topic.join(torn, "topic").select("id").distinct().withColumn("torn", F.lit(True))
+    n = train.where("query_id IS NOT NULL").join(of.withColumnRenamed("id", "query_id"), "query_id").agg(*[F.avg((F.col("split") == name).cast("double")).alias(name) for name, _ in splits.SPLITS])
+    near = n.select(F.greatest(*[F.abs(F.col(name) - share) for name, share in splits.SPLITS]).alias("off")).select((F.col("off") < 0.01).alias("near_shares"))
+    return of.join(torn, "id", "left").select(F.col("id").alias("query_id"), F.col("torn").isNull().alias("together")).crossJoin(F.broadcast(near))  # one row
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of training queries whose texts are nearly the same."""
     members, _, pairs = neardup.near_duplicates(table(spark, d, "train"), "query_id", "query_text", "0.7")
@@ -147,8 +171,8 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their weight."""
-    return mixing.out_of_reach(_sizes(spark, d))
+    """Sources that can't reach their weight: the plan of the mixture repeats them as often as allowed."""
+    return mixing.out_of_reach(mixing.mix_plan(_sizes(spark, d)))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -160,6 +184,27 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each target source, whether its repetitions hold it below its weight, and whether the mixture keeps what it promises."""
+    mixed, plan = _mix(spark, d)
+    mixed = mixing.materialize(mixed, "mixed")
+    got = mixed.groupBy("source").agg(F.sum("tokens").alias("actual"), F.max("copy").alias("copies"), F.max("tokens").alias("largest"))
+    twice = mixed.groupBy("source", "id", "tokens", "copy").count().where("count > 1").select("source").distinct().withColumn("twice", F.lit(True))
+    passes = mixed.groupBy("source", "copy").agg(F.count_distinct("nth").alias("n"), F.max("nth").alias("last")).where("n < last").select("source").distinct().withColumn("gap", F.lit(True))
+    t = plan.join(got, "source", "left").join(twice, "source", "left").join(passes, "source", "left").na.fill({"actual": 0, "copies": 0, "largest": 1})
+    total = t.select(F.sum("size").over(Window.partitionBy(F.lit(1))).alias("total"), "*")  # rows of the target table
+    least = F.least(F.col("weight") * F.col("total"), F.col("size") * F.col("max_repeats"))
+    return total.select(
+        "source",
+        "max_repeats",
+        "size",
+        (F.col("copies") <= F.col("max_repeats")).alias("repeats_kept"),
+        (F.col("actual") > least - F.col("largest")).alias("weight_met"),
+        (F.col("actual") <= F.col("planned") + 1e-6).alias("budget_kept"),
+        (F.col("twice").isNull() & F.col("gap").isNull()).alias("order_whole"),
+    )
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Weights and actual shares of the sources."""
     return mixing.mix_report(*_mix(spark, d))
@@ -189,7 +234,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_placed": p6_placed, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p3_kept": p3_kept, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_placed": p6_placed, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_kept": p7_kept, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -228,8 +273,10 @@ SELECT query_id, CAST(len(any_value(w)) AS INTEGER) AS n_words, CAST(count(pos)
         "p4_found": near.format(words.format("train"), words.format("train"), "x.query_id < y.query_id", "query_id_a", "query_id_b"),
         "p5_found": near.format(words.format("test"), words.format("train"), "true", "test_query_id", "train_query_id"),
         "p3_found": TIED,
+        "p3_kept": "SELECT DISTINCT query_id, true AS together, true AS near_shares FROM train WHERE query_id IS NOT NULL",
         "p6_placed": "SELECT doc_id, coalesce(strlen(text), 0) AS n_tokens, coalesce(strlen(text), 0) <= 4096 AS whole, true AS gapless, 0 AS n_over_full FROM documents",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
+        "p7_kept": sizes + " SELECT source, max_repeats, size, true AS repeats_kept, true AS weight_met, true AS budget_kept, true AS order_whole FROM z",
         "p7_found": sizes + " SELECT source FROM z WHERE size * max_repeats < weight * (SELECT sum(size) FROM z)",
     }
 

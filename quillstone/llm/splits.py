@@ -24,6 +24,7 @@ SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 QUARANTINE = "quarantine"
 TOPIC = r"[\p{L}\p{N}][_\- ][Tt](\d+)(?![\p{L}\p{N}])"  # label, separator, T, number
 BUCKET_UNITS = 1000
+POOL_UNITS = 100_000  # whose classes one task folds
 STATE = "unit string, split string, stratum string, n_rows long, delivery int"
 
 
@@ -55,24 +56,22 @@ def components(ties: DataFrame, max_rounds: int = 60) -> DataFrame:
     by doubling until they are roots, and contracts the ties to roots. All tables are written to
     the shared folder; nothing is gathered by the driver. An empty input has no components.
     """
-    edges = materialize(ties.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), "ties")
+    edges, n = _written(ties.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), "ties")
     labels = None
     for _ in range(max_rounds):
-        if edges.isEmpty():
+        if not n:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))  # over closed neighbourhoods
         points = both.join(low.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("low").alias("p"))
         points = materialize(points.select(F.col("a").alias("node"), F.least("a", "p").alias("p")), "points")
-        while True:  # pointer jumping
+        moved = True
+        while moved:  # pointer jumping
             up = points.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            jumped = materialize(points.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "points")
-            moved = not jumped.where("moved").isEmpty()
+            jumped, moved = _written(points.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "points", "moved")
             discard(points)
             points = jumped.drop("moved")
             points._quillstone_path = jumped._quillstone_path
-            if not moved:
-                break
         if labels is None:
             new = points.select("node", F.col("p").alias("root"))
         else:
@@ -84,7 +83,7 @@ def components(ties: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new
         pa, pb = points.select(F.col("node").alias("a"), F.col("p").alias("ra")), points.select(F.col("node").alias("b"), F.col("p").alias("rb"))
         left = edges.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        left = materialize(left, "ties")
+        left, n = _written(left, "ties")
         discard(edges)
         discard(points)
         edges = left
@@ -95,6 +94,12 @@ def components(ties: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
+def _written(df: DataFrame, tag: str, what: str = "true") -> tuple[DataFrame, bool]:
+    """The written table, and whether it has a row that satisfies `what`."""
+    out = materialize(df, tag)
+    return out, not out.where(what).isEmpty()
+
+
 class SplitTable:
     """Splits of the units seen so far: `topics` (node, root) and `units` (unit, split, ...).
 
@@ -122,27 +127,36 @@ class SplitTable:
         t.deliveries = (t.units.agg(F.max("delivery")).first()[0] or 0) + 1
         return t
 
-    def update(self, df: DataFrame, id_col: str = "query_id", topic_col: str = "topic_id", stratum_col: str | None = "consensus_law") -> None:
-        """Take a delivery. Rows with a null id are not assigned (there is nothing to assign), but their cell still ties."""
-        stratum = F.coalesce(F.trim(F.col(stratum_col)), F.lit("")) if stratum_col else F.lit("")
-        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(topic_col).alias("cell"), stratum.alias("stratum"))
+    def tie(self, df: DataFrame, id_col: str = "query_id", topic_col: str = "topic_id") -> DataFrame:
+        """(node, root): the topics known with those of a delivery, by component. The table itself is left as it is."""
+        return self._tie(df.select(F.col(id_col).cast("string").alias("id"), F.col(topic_col).alias("cell")))[0]
+
+    def _tie(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The component table after a delivery (id, cell), each record's first topic there, and (id, was) of records known with a topic."""
         # records known to belong to a topic tie their new topics with it
         nodes, ties = topic_ties(rows, "id", "cell")
         first = rows.select("id", topic_numbers("cell").alias("ts")).where("id IS NOT NULL AND size(ts) > 0").groupBy("id").agg(F.min(F.col("ts")[0]).alias("topic"))
-        first = materialize(first, "first-topics")
         old = self.records.where("unit LIKE 't%'").select("id", F.expr("CAST(substring(unit, 2) AS BIGINT)").alias("was"))
-        again = first.join(old, "id").where("topic <> was").select(F.least("topic", "was").alias("a"), F.greatest("topic", "was").alias("b"))
-        ties = ties.unionByName(again)
-
-        def rooted(t: DataFrame, c: str) -> DataFrame:
-            known = self.topics.select(F.col("node").alias(c), F.col("root").alias("known"))
-            return t.join(known, c, "left").withColumn(c, F.coalesce("known", c)).drop("known")
-
-        contracted = rooted(rooted(ties, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        merged = components(contracted)  # over roots and new topics
-        to = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        every = self.topics.unionByName(nodes.join(self.topics, "node", "left_anti").select("node", F.col("node").alias("root")))
+        if self.deliveries:
+            first = materialize(first, "first-topics")
+            ties = ties.unionByName(first.join(old, "id").where("topic <> was").select(F.least("topic", "was").alias("a"), F.greatest("topic", "was").alias("b")))
+
+            def rooted(t: DataFrame, c: str) -> DataFrame:
+                known = self.topics.select(F.col("node").alias(c), F.col("root").alias("known"))
+                return t.join(known, c, "left").withColumn(c, F.coalesce("known", c)).drop("known")
+
+            ties = rooted(rooted(ties, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            nodes = nodes.join(self.topics, "node", "left_anti")
+        to = components(ties).select(F.col("node").alias("root"), F.col("root").alias("to"))  # over roots and new topics
+        every = self.topics.unionByName(nodes.select("node", F.col("node").alias("root")))
         topics = materialize(every.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "topics")
+        return topics, first, old
+
+    def update(self, df: DataFrame, id_col: str = "query_id", topic_col: str = "topic_id", stratum_col: str | None = "consensus_law") -> None:
+        """Take a delivery. Rows with a null id are not assigned (there is nothing to assign), but their cell still ties."""
+        stratum = F.coalesce(F.trim(F.col(stratum_col)), F.lit("")) if stratum_col else F.lit("")
+        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(topic_col).alias("cell"), stratum.alias("stratum"))
+        topics, first, old = self._tie(rows.select("id", "cell"))
 
         # the unit of each record of the delivery; a record known before keeps a topic it had
         root = topics.select(F.col("node").alias("topic"), F.col("root"))
@@ -186,43 +200,61 @@ class SplitTable:
     def _assign(self, new: DataFrame, kept: DataFrame) -> DataFrame:
         """Give new units splits so that each stratum, and all of them, come near the shares.
 
-        Units are compressed to classes of equal (stratum, rows, bucket); a sequential fold over
-        a stratum's classes, of which there are few, decides how many units of each class go to
-        which split; units take their places by a hash. Strata of few rows are pooled.
+        Units are compressed to classes of equal (pool, rows, bucket); a sequential fold over a pool's classes decides
+        how many units of each go to which split; units take their places by a hash. Strata of few rows are pooled, and
+        those of more than POOL_UNITS units are dealt to several pools. What the pools' sums then lack of the overall
+        shares is added to what the pools want, in proportion to their rows, and the fold is done again.
         """
         spark, names = self.spark, [n for n, _ in self.splits]
-        share = dict(self.splits)
-        total = new.select("stratum", "n_rows").unionByName(kept.select("stratum", "n_rows")).groupBy("stratum").agg(F.sum("n_rows").alias("all_rows"))
+        shares = np.array([w for _, w in self.splits])
+        total = new.select("stratum", "n_rows", F.lit(1).alias("u")).unionByName(kept.select("stratum", "n_rows", F.lit(0).alias("u"))).groupBy("stratum").agg(F.sum("n_rows").alias("all_rows"), F.sum("u").alias("u"))
         pool = F.when(F.col("all_rows") < self.small, F.lit("~")).otherwise(F.concat(F.lit("="), F.col("stratum"))).alias("pool")
-        pools = materialize(total.select("stratum", pool), "pools")
-        new = new.join(pools, "stratum")
+        pools = materialize(total.select("stratum", pool, F.greatest(F.lit(1), F.ceil(F.col("u") / POOL_UNITS)).alias("parts")), "pools")
+        # the pool of small strata holds few units for each stratum, but there may be many strata
+        parts = materialize(pools.join(total.select("stratum", "u"), "stratum").groupBy("pool").agg(F.greatest(F.lit(1), F.ceil(F.sum("u") / POOL_UNITS)).alias("parts")), "pool-parts")
+        pools = pools.select("stratum", "pool").join(parts, "pool")
+        named = lambda part: F.concat_ws("#", part.cast("string"), "pool")
+        new = new.join(pools, "stratum").withColumn("pool", named(F.pmod(F.xxhash64("unit", F.lit(9)), F.col("parts")))).drop("parts")
         size = new.groupBy("pool", "n_rows").agg(F.count(F.lit(1)).alias("c"))
         bucket = F.pmod(F.xxhash64("unit"), F.ceil(F.col("c") / BUCKET_UNITS)).cast("int")
         new = materialize(new.join(size, ["pool", "n_rows"]).withColumn("bucket", bucket).drop("c"), "pooled-units")
         classes = new.groupBy("pool", "n_rows", "bucket").agg(F.count(F.lit(1)).alias("c"))
-        have = kept.join(pools, "stratum").where(F.col("split") != QUARANTINE).groupBy("pool").agg(*[F.sum(F.when(F.col("split") == n, F.col("n_rows")).otherwise(0)).alias(f"h{i}") for i, n in enumerate(names)])
-        classes = classes.join(have, "pool", "left").na.fill(0)
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["n_rows", "bucket"], ascending=[False, True])
-            held = pdf[[f"h{i}" for i in range(len(names))]].iloc[0].to_numpy(float)
-            want = np.array([share[n] for n in names]) * (held.sum() + float((pdf["n_rows"] * pdf["c"]).sum()))
-            out = []
-            tie = np.roll(np.arange(len(names)), zlib.crc32(pdf["pool"].iloc[0].encode())) * 1e-6  # equal lacks: not always the same split
-            for n, c in zip(pdf["n_rows"].to_numpy(), pdf["c"].to_numpy()):
-                lack = want - held
-                give = np.floor(np.maximum(lack, 0) / n).astype(np.int64)
-                if give.sum() > c:
-                    give = np.floor(give * (c / give.sum())).astype(np.int64)
-                held = held + give * n
-                while give.sum() < c:
-                    i = int(np.argmax(want - held + tie))
-                    give[i] += 1
-                    held[i] += n
-                out.append(np.cumsum(give))
-            return pdf[["pool", "n_rows", "bucket"]].assign(upto=[x.tolist() for x in out])
-
-        given = classes.groupBy("pool").applyInPandas(fold, "pool string, n_rows long, bucket int, upto array<long>")
+        have = kept.join(pools, "stratum").where(F.col("split") != QUARANTINE).groupBy("pool").agg(F.first("parts").alias("parts"), *[F.sum(F.when(F.col("split") == n, F.col("n_rows")).otherwise(0)).alias(f"h{i}") for i, n in enumerate(names)])
+        have = have.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(named(F.col("part")).alias("pool"), *[(F.col(f"h{i}") / F.col("parts")).alias(f"h{i}") for i in range(len(names))])
+        classes = materialize(classes.join(have, "pool", "left").na.fill(0), "unit-classes")
+
+        def fold_with(more: np.ndarray):
+            def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values(["n_rows", "bucket"], ascending=[False, True])
+                held = pdf[[f"h{i}" for i in range(len(names))]].iloc[0].to_numpy(float)
+                rows = held.sum() + float((pdf["n_rows"] * pdf["c"]).sum())
+                want = (shares + more) * rows
+                out = []
+                tie = np.roll(np.arange(len(names)), zlib.crc32(pdf["pool"].iloc[0].encode())) * 1e-6  # equal lacks: not always the same split
+                for n, c in zip(pdf["n_rows"].to_numpy(), pdf["c"].to_numpy()):
+                    lack = want - held
+                    give = np.floor(np.maximum(lack, 0) / n).astype(np.int64)
+                    if give.sum() > c:
+                        give = np.floor(give * (c / give.sum())).astype(np.int64)
+                    held = held + give * n
+                    while give.sum() < c:
+                        i = int(np.argmax(want - held + tie))
+                        give[i] += 1
+                        held[i] += n
+                    out.append(np.cumsum(give))
+                return pdf[["pool", "n_rows", "bucket"]].assign(upto=[x.tolist() for x in out])
+
+            return materialize(classes.groupBy("pool").applyInPandas(fold, "pool string, n_rows long, bucket int, upto array<long>"), "given-classes")
+
+        given = fold_with(np.zeros(len(names)))
+        got = given.select("n_rows", *[(F.col("upto")[i] - (F.col("upto")[i - 1] if i else 0)).alias(f"g{i}") for i in range(len(names))])
+        sums = got.agg(*[F.coalesce(F.sum(F.col("n_rows") * F.col(f"g{i}")), F.lit(0)) for i in range(len(names))]).first()
+        old = kept.where(F.col("split") != QUARANTINE).groupBy("split").agg(F.sum("n_rows").alias("n")).collect()  # one row for each split
+        reached = np.array(sums, float) + np.array([sum(r["n"] for r in old if r["split"] == n) for n in names], float)
+        if reached.sum():
+            lack = shares - reached / reached.sum()
+            if np.abs(lack).max() * reached.sum() >= 1:
+                given = fold_with(lack)
         place = Window.partitionBy("pool", "n_rows", "bucket").orderBy(F.xxhash64("unit", F.lit(3)), "unit")
         split = F.element_at(F.array(*[F.lit(n) for n in names]), F.size(F.filter("upto", lambda u: u < F.col("place"))) + 1)
         return new.withColumn("place", F.row_number().over(place)).join(given, ["pool", "n_rows", "bucket"]).select("unit", split.alias("split"), "stratum", "n_rows")
@@ -230,10 +262,3 @@ class SplitTable:
     def assignments(self) -> DataFrame:
         """(id, unit, split) for every record seen."""
         return self.records.join(self.units.select("unit", "split"), "unit").select("id", "unit", "split")
-
-
-def tied_pairs(topics: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of topics of one component."""
-    some = topics.join(topics.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "root")
-    a, b = some.select("root", F.col("node").alias("a")), some.select("root", F.col("node").alias("b"))
-    return a.join(b, "root").where("a < b").select("a", "b")

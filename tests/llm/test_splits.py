@@ -6,6 +6,11 @@ from quillstone.llm import splits
 SCHEMA = "query_id string, topic_id string, consensus_law string, unit string, split string"
 
 
+def tied_pairs(topics):
+    a, b = topics.withColumnRenamed("node", "a"), topics.withColumnRenamed("node", "b")
+    return a.join(b, "root").where("a < b").select("a", "b")
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "u", "s") for r in rows], SCHEMA)
 
@@ -82,18 +87,18 @@ def test_one_hot_component_and_repeated_rows(spark):
     t = splits.SplitTable(spark)
     t.update(frame(spark, rows))
     assert t.units.count() == 1
-    assert splits.tied_pairs(t.topics).count() == 50 * 49 // 2
+    assert tied_pairs(t.topics).count() == 50 * 49 // 2
 
 
 def test_null_ids_tie_within_their_cell_only(spark):
     rows = [(None, "L_T1 / L_T2", "L"), (None, "L_T3", "L"), ("q", "L_T2", "L")]
     t = splits.SplitTable(spark)
     t.update(frame(spark, rows))
-    assert {(r["a"], r["b"]) for r in splits.tied_pairs(t.topics).collect()} == {(1, 2)}
+    assert {(r["a"], r["b"]) for r in tied_pairs(t.topics).collect()} == {(1, 2)}
     assert [r["id"] for r in t.assignments().collect()] == ["q"]
 
 
 def test_empty(spark):
     t = splits.SplitTable(spark)
     t.update(frame(spark, []))
-    assert t.assignments().count() == 0 and splits.tied_pairs(t.topics).count() == 0
+    assert t.assignments().count() == 0 and tied_pairs(t.topics).count() == 0
