@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import WORD, lexical
-from quillstone.session import materialize
+from quillstone.session import materialize, tasks
 
 SLICE = 1024
+NONZEROS = 2048  # entries multiplied together
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, number_mode: str = "replace") -> DataFrame:
@@ -83,7 +85,10 @@ class TruncatedSVD:
             raise ValueError(f"more than {most_terms} terms: bound the vocabulary first")
         spark = weights.sparkSession
         rows = materialize(_rows(weights, terms), "svd-rows")
-        n = rows.count()
+        n, entries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()
+        # a task's sum has a row for each term: it should have several entries for each
+        parts = max(1, min(entries // (4 * max(1, len(terms))), 4 * tasks(spark)))
+        rows = materialize(rows.repartition(parts), "svd-parts")
         k = max(1, min(k, len(terms) - 1, n - 1))
         width = min(len(terms), k + oversample)
         q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), width)))
@@ -91,7 +96,6 @@ class TruncatedSVD:
             q, _ = np.linalg.qr(_gram(rows, q))
         values, inner = np.linalg.eigh(q.T @ _gram(rows, q))
         order = np.argsort(-values)[:k]
-        del spark
         return cls(terms, (q @ inner[:, order]).T, np.sqrt(np.maximum(values[order], 0)))
 
     def transform(self, weights: DataFrame, unit_length: bool = False) -> DataFrame:
@@ -99,15 +103,18 @@ class TruncatedSVD:
         shared = weights.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.components.T, np.float64))  # at most most_terms x components
         t = weights.schema["doc_id"].dataType.simpleString()
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
             for b in batches:
-                emb = [w @ c[i] for i, w in zip(b["idx"], b["val"])]
+                emb = np.zeros((len(b), c.shape[1]))
+                for lo, hi, idx, val, at in _pieces(b):
+                    emb[lo:hi] = np.add.reduceat(val[:, None] * c[idx], at, axis=0)
                 if unit_length:
-                    emb = [e / max(np.linalg.norm(e), 1e-12) for e in emb]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "emb": [e.tolist() for e in emb]})
+                    emb /= np.maximum(np.linalg.norm(emb, axis=1, keepdims=True), 1e-12)
+                lists = pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * c.shape[1], pa.array(emb.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "emb"])
 
-        return _rows(weights, self.terms).mapInPandas(run, f"doc_id {t}, emb array<double>")
+        return _rows(weights, self.terms).mapInArrow(run, f"doc_id {t}, emb array<double>")
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, dim: int = 512, min_df: int = 1, most_terms: int = 100_000, chars: bool = False, iterations: int = 6, seed: int = 42) -> tuple[DataFrame, TruncatedSVD, DataFrame]:
@@ -142,25 +149,52 @@ def _rows(weights: DataFrame, terms: list[str]) -> DataFrame:
     return weights.join(numbers, "term").groupBy("doc_id").agg(F.collect_list("i").alias("idx"), F.collect_list("w").alias("val"))
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows lo..hi - 1 of a batch (idx, val) with at most NONZEROS entries, or one row: their flat entries and where each row begins."""
+    lists, values = b.column(b.schema.get_field_index("idx")), b.column(b.schema.get_field_index("val"))
+    at = lists.offsets.to_numpy()
+    idx, val = lists.values.to_numpy(), values.values.to_numpy(zero_copy_only=False)
+    shift = values.offsets.to_numpy()[0] - at[0]
+    lo = 0
+    while lo < len(b):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + NONZEROS, side="right")) - 1)
+        yield lo, hi, idx[at[lo] : at[hi]], val[at[lo] + shift : at[hi] + shift], at[lo:hi] - at[lo]
+        lo = hi
+
+
 def _gram(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """X'X q, a sum over blocks of documents, in slices of SLICE terms."""
+    """X'X q as sparse products of batches, summed in slices of SLICE terms; only slices that a task has terms of are sent."""
     sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(q)
+    shared = sc.broadcast(q.astype(np.float32))  # at most most_terms x (components + oversample)
+    n, width = q.shape
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        total = np.zeros(m.shape)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total = shared.value, {}
         for b in batches:
-            for i, w in zip(b["idx"], b["val"]):
-                total[i] += np.outer(w, w @ m[i])
-        for i in range(0, len(total), SLICE):
-            yield pd.DataFrame({"slice": [i // SLICE], "block": [total[i : i + SLICE].tobytes()]})
+            for lo, hi, idx, val, at in _pieces(b):
+                val = val.astype(np.float32)[:, None]
+                scores = np.add.reduceat(val * m[idx], at, axis=0)
+                part = val * np.repeat(scores, np.diff(np.append(at, len(idx))), axis=0)
+                order = np.argsort(idx, kind="stable")
+                terms, first = np.unique(idx[order], return_index=True)
+                sums = np.add.reduceat(part[order], first, axis=0)
+                cuts = np.flatnonzero(np.diff(terms // SLICE)) + 1
+                for t, x in zip(np.split(terms, cuts), np.split(sums, cuts)):
+                    i = int(t[0]) // SLICE
+                    if i not in total:
+                        total[i] = np.zeros((SLICE, width), np.float32)
+                    total[i][t % SLICE] += x
+        for i, block in total.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "block": [block.tobytes()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.float64) for b in pdf["block"])
+        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in pdf["block"])
         return pd.DataFrame({"slice": pdf["slice"][:1], "block": [total.tobytes()]})
 
-    parts = rows.mapInPandas(run, "slice int, block binary")
-    blocks = parts.groupBy("slice").applyInPandas(add, "slice int, block binary").collect()  # one matrix of the size of q
+    parts = rows.select("idx", "val").mapInArrow(run, "slice int, block binary")
+    out = np.zeros(q.shape)
+    for r in parts.groupBy("slice").applyInPandas(add, "slice int, block binary").toLocalIterator():  # a slice at a time, in all one matrix of the size of q
+        at = r["slice"] * SLICE
+        out[at : at + SLICE] = np.frombuffer(r["block"], np.float64).reshape(SLICE, width)[: n - at]
     shared.unpersist()
-    return np.frombuffer(b"".join(r["block"] for r in sorted(blocks, key=lambda r: r["slice"])), np.float64).reshape(q.shape)
+    return out

@@ -167,7 +167,7 @@ QUERIES |= {"h28_ridge": _baseline("ridge"), "h29_logistic": _baseline("logistic
 
 _D = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, CAST(c.label AS VARCHAR) AS label, CAST(c.vec_id % 4 AS INTEGER) AS cluster, list_dot_product(q.v, c.v) AS dot, greatest(list_dot_product(q.v, q.v) + list_dot_product(c.v, c.v) - 2 * dot, 0) AS sq
-  FROM e q, e c WHERE q.vec_id % 25 = 0 AND c.vec_id % 25 <> 0 AND c.vec_id % 7 = 0),
+  FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0),
 d AS (SELECT query_id, label, cluster, min(round(sqrt((1 - exp(-sqrt(sq))) ** 2 + (acos(greatest(-1, least(1, dot))) / 3.141592653589793) ** 2) / sqrt(2), 9)) AS d FROM p GROUP BY ALL)"""
 
 ORACLE = {

@@ -314,7 +314,7 @@ ORACLE = {
     "d9_nearest": f"WITH v AS (SELECT vec_id, {_DOUBLES} AS e FROM embeddings) SELECT a.vec_id AS id, b.vec_id AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) = 1",
     "d10_prompts": "WITH"
     + _ranked_sql("dense", _DOUBLES, 3)
-    + " h AS (SELECT query_id, rank, unit_id, lang, trim(replace(text, chr(10), ' ')) AS t FROM r_dense JOIN documents ON doc_id = unit_id AND text IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM h), l AS (SELECT query_id, rank, unit_id, '[' || i || '] (' || coalesce(lang, '?') || ') ' || CASE WHEN length(t) > 80 THEN rtrim(substr(t, 1, 77)) || '...' ELSE t END AS line FROM n) SELECT query_id, 'query ' || query_id AS query_text, 'Antworte auf Deutsch und nur aus den Fundstellen.' || chr(10) || 'Frage: query ' || query_id || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS prompt, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY rank) AS unit_ids FROM l GROUP BY query_id",
+    + " h AS (SELECT query_id, rank, unit_id, lang, trim(replace(text, chr(10), ' ')) AS t FROM r_dense JOIN documents ON doc_id = unit_id AND text IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM h), l AS (SELECT query_id, rank, unit_id, '[' || i || '] (' || coalesce(lang, '?') || ') ' || CASE WHEN length(t) > 5000 THEN rtrim(substr(t, 1, 4997)) || '...' ELSE t END AS line FROM n) SELECT query_id, 'query ' || query_id AS query_text, 'Antworte auf Deutsch und nur aus den Fundstellen.' || chr(10) || 'Frage: query ' || query_id || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS prompt, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY rank) AS unit_ids FROM l GROUP BY query_id",
     "e1_metrics_mean": _with(KS) + f" z AS (SELECT 1) SELECT k, count(*) AS n_queries, {_MEANS} FROM q_dense GROUP BY 1",
     "e1_per_query": _with(KS) + f" z AS (SELECT 1) SELECT k, query_id, {', '.join(f'round({m}, 6) AS {m}' for m in M.METRICS)} FROM q_dense",
     "e2_prior": "SELECT law_type AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM ris_sentences), 6) AS prior FROM ris_sentences GROUP BY 1",

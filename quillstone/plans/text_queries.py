@@ -354,7 +354,7 @@ ORACLE = {
     "b3_noise": "SELECT sentence_id, ltrim(law_type) || ' Stand' AS line FROM ris_sentences WHERE sentence IS NOT NULL AND law_type IS NOT NULL",
     "b8_meaningful": "SELECT a.sentence_id, a.keep, b.keep AS strict FROM " + _meaningful(25, 3, 0.85) + " a JOIN " + _meaningful(130, 12, 0.02) + " b USING (sentence_id)",
     "b9_tokens": f"SELECT sentence_id, CAST(len(regexp_extract_all(sentence, '{_W}+')) AS INTEGER) AS n FROM ris_sentences WHERE sentence IS NOT NULL",
-    "b11_headers": rf"WITH l AS (SELECT source_file AS doc, coalesce(page, 1) AS page, regexp_replace(lower({_strip(f'''regexp_replace(substr(sentence, 1, 24), '{_S}+', ' ', 'g')''')}), '\p{{Nd}}+', '<d>', 'g') AS key FROM ris_sentences WHERE sentence IS NOT NULL), p AS (SELECT doc, max(page) AS pages FROM l GROUP BY 1), k AS (SELECT doc, key, count(*) AS n FROM l WHERE key <> '' GROUP BY ALL) SELECT doc, key FROM k JOIN p USING (doc) WHERE n >= greatest(3, round_even(pages * 0.2, 0)) AND length(key) BETWEEN 2 AND 120",
+    "b11_headers": rf"WITH l AS (SELECT source_file AS doc, coalesce(page, 1) AS page, regexp_replace(lower({_strip(f'''regexp_replace(sentence, '{_S}+', ' ', 'g')''')}), '\p{{Nd}}+', '<d>', 'g') AS key FROM ris_sentences WHERE sentence IS NOT NULL), p AS (SELECT doc, max(page) AS pages FROM l GROUP BY 1), k AS (SELECT doc, key, count(*) AS n FROM l WHERE key <> '' GROUP BY ALL) SELECT doc, key FROM k JOIN p USING (doc) WHERE n >= greatest(3, round_even(pages * 0.2, 0)) AND length(key) BETWEEN 2 AND 120",
     "b14_nearest_rank": "WITH r AS (SELECT law_type, page, row_number() OVER (PARTITION BY law_type ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY law_type) AS n FROM ris_sentences WHERE page IS NOT NULL) SELECT law_type, max(page) FILTER (i = round_even((n - 1) * 0.1, 0)) AS q0, max(page) FILTER (i = round_even((n - 1) * 0.5, 0)) AS q1, max(page) FILTER (i = round_even((n - 1) * 0.9, 0)) AS q2 FROM r GROUP BY 1",
     "b15_keep_first": "SELECT min(sentence_id) AS sentence_id, source_file FROM ris_sentences WHERE sentence IS NOT NULL GROUP BY source_file, sentence",
     "b16_keywords": f"WITH t AS (SELECT DISTINCT query_id, query_text, list_filter(list_transform(regexp_extract_all(replace(query_text, '-', ' '), '[A-Za-zÄÖÜäöüß0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP}) AND (regexp_matches(x, '^[0-9]+$') OR length(x) > 2)) AS w FROM train WHERE query_text IS NOT NULL) SELECT query_id, query_text, CASE WHEN len(w) > 0 THEN array_to_string(w[1:10], ' ') ELSE lower(substr(query_text, 1, 50)) END AS keywords FROM t",
@@ -380,8 +380,8 @@ ORACLE = {
     "a2_links": "WITH t AS (SELECT law, whole_law_url, replace(whole_law_url, '/norm/', '/norm?x=1&id=') AS w, replace(pdf_url, '/norm/', '/norm?x=1&id=') AS p FROM download_report WHERE whole_law_url IS NOT NULL) SELECT law, whole_law_url, w AS complete, p AS pdf FROM t",
     "a7_corpus": "WITH k AS (SELECT s.*, row_number() OVER (PARTITION BY source_file, sentence ORDER BY sentence_id) AS r FROM ris_sentences s JOIN " + _meaningful(25, 3, 0.85) + rf""" m USING (sentence_id) WHERE m.keep AND source_file IS NOT NULL AND NOT regexp_matches({_strip('sentence')}, '^(Seite{_S}+\d+({_S}+von{_S}+\d+)?|www\.ris\.bka\.gv\.at|RIS)$', 'i'))
 SELECT row_number() OVER (ORDER BY source_file, sentence_id) AS unit_id, regexp_replace(source_file, '\.[^.]*$', '') AS label, page, sentence AS text, source_file FROM k WHERE r = 1""",
-    "h2_char_ngrams": "WITH w AS (SELECT query_id, ' ' || unnest(list_filter(string_split(" + _lexical_sql("query_text", r" num\1 ") + ", ' '), lambda x: x <> '')) || ' ' AS w FROM test WHERE query_text IS NOT NULL), g AS (SELECT query_id, substr(w, i, n) AS term FROM w, range(3, 7) t(n), range(1, 1000) u(i) WHERE (length(w) >= n OR n = 3) AND i <= greatest(length(w) - n + 1, 1)) SELECT term, count(DISTINCT query_id) AS df, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 100",
-    "h3_union": "WITH q AS (SELECT query_id, " + _lexical_sql("query_text", r" num\1 ") + rf" AS s FROM test WHERE query_text IS NOT NULL), n AS (SELECT count(*) AS n FROM q), t AS (SELECT 0 AS b, 1.0::DOUBLE AS weight, query_id, unnest(regexp_extract_all(s, '{_W}+')) AS term FROM q UNION ALL SELECT 1, 0.9, query_id, substr(w, i, 3) FROM (SELECT query_id, ' ' || unnest(list_filter(string_split(s, ' '), lambda x: x <> '')) || ' ' AS w FROM q), range(1, 1000) u(i) WHERE i <= greatest(length(w) - 2, 1)), c AS (SELECT b, weight, query_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT b, term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT b, query_id, weight, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (b, term)), u AS (SELECT query_id, weight * w / sqrt(sum(w * w) OVER (PARTITION BY b, query_id)) AS w FROM w) SELECT query_id, count(*) AS n, round(sum(w * w), 5) AS square FROM u GROUP BY 1",
+    "h2_char_ngrams": "WITH w AS (SELECT query_id, ' ' || unnest(list_filter(string_split(" + _lexical_sql("query_text", r" num\1 ") + ", ' '), lambda x: x <> '')) || ' ' AS w FROM test WHERE query_text IS NOT NULL), g AS (SELECT query_id, substr(w, i, n) AS term FROM w, range(3, 7) t(n), range(1, 1000) u(i) WHERE (length(w) >= n OR n = 3) AND i <= greatest(length(w) - n + 1, 1)) SELECT term, count(DISTINCT query_id) AS df, count(*) AS n FROM g GROUP BY 1 HAVING count(DISTINCT query_id) BETWEEN 2 AND 0.99 * (SELECT count(*) FROM test WHERE query_text IS NOT NULL)",
+    "h3_union": "WITH q AS (SELECT query_id, " + _lexical_sql("query_text", r" num\1 ") + rf" AS s FROM test WHERE query_text IS NOT NULL), n AS (SELECT count(*) AS n FROM q), t AS (SELECT 0 AS b, 1.0::DOUBLE AS weight, query_id, unnest(regexp_extract_all(s, '{_W}+')) AS term FROM q UNION ALL SELECT 1, 0.9, query_id, substr(w, i, n) FROM (SELECT query_id, ' ' || unnest(list_filter(string_split(s, ' '), lambda x: x <> '')) || ' ' AS w FROM q), range(3, 7) r(n), range(1, 1000) u(i) WHERE (length(w) >= n OR n = 3) AND i <= greatest(length(w) - n + 1, 1)), c AS (SELECT b, weight, query_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT b, term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT b, query_id, weight, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (b, term)), u AS (SELECT query_id, weight * w / sqrt(sum(w * w) OVER (PARTITION BY b, query_id)) AS w FROM w) SELECT query_id, count(*) AS n, round(sum(w * w), 5) AS square FROM u GROUP BY 1",
     "i2_expansion": "WITH laws AS (SELECT DISTINCT law AS spec FROM download_report WHERE law IS NOT NULL), kinds AS (SELECT unnest(['Frist', 'Gebühr']) AS kind), t AS (SELECT spec, kind || ' bei ' || act AS text FROM (SELECT DISTINCT spec, unnest([spec, 'Antrag', 'Bescheid']) AS act FROM laws), kinds UNION SELECT spec, 'Wer zahlt ' || kind || '?' FROM laws, kinds UNION SELECT spec, 'Allgemeines' FROM laws) SELECT spec, text FROM t QUALIFY row_number() OVER (PARTITION BY spec ORDER BY md5('19|' || text), text) <= 5",
     "i5_style_targets": "WITH u AS (SELECT DISTINCT consensus_law AS label FROM train WHERE consensus_law IS NOT NULL), r AS (SELECT label, row_number() OVER (ORDER BY label) AS r, count(*) OVER () AS m FROM u), t AS (SELECT label, 1000 // m + CAST(r <= 1000 % m AS BIGINT) AS target FROM r), s AS (SELECT label, target, style, row_number() OVER (PARTITION BY label ORDER BY md5('19|' || label || '|' || style)) AS r FROM t, (SELECT unnest([" + ", ".join(f"'{x}'" for x in STYLES) + f"]) AS style)) SELECT label, style, target // {len(STYLES)} + CAST(r <= target % {len(STYLES)} AS BIGINT) AS target FROM s",
 }
