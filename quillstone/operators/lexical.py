@@ -91,9 +91,9 @@ class TruncatedSVD:
         rows = materialize(rows.repartition(parts), "svd-parts")
         k = max(1, min(k, len(terms) - 1, n - 1))
         width = min(len(terms), k + oversample)
-        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), width)))
+        q = _orthonormal(np.random.default_rng(seed).normal(size=(len(terms), width)))
         for _ in range(iterations):
-            q, _ = np.linalg.qr(_gram(rows, q))
+            q = _orthonormal(_gram(rows, q))
         values, inner = np.linalg.eigh(q.T @ _gram(rows, q))
         order = np.argsort(-values)[:k]
         return cls(terms, (q @ inner[:, order]).T, np.sqrt(np.maximum(values[order], 0)))
@@ -149,6 +149,20 @@ def _rows(weights: DataFrame, terms: list[str]) -> DataFrame:
     return weights.join(numbers, "term").groupBy("doc_id").agg(F.collect_list("i").alias("idx"), F.collect_list("w").alias("val"))
 
 
+def _orthonormal(x: np.ndarray) -> np.ndarray:
+    """An orthonormal base of the columns: by the Cholesky factor of their products, twice, or by QR where that is too coarse."""
+    try:
+        y = x
+        for _ in range(2):
+            y = y / np.maximum(np.linalg.norm(y, axis=0), 1e-300)
+            y = np.linalg.solve(np.linalg.cholesky(y.T @ y), y.T).T
+        if np.abs(y.T @ y - np.eye(y.shape[1])).max() < 1e-8:
+            return y
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.qr(x)[0]
+
+
 def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows lo..hi - 1 of a batch (idx, val) with at most NONZEROS entries, or one row: their flat entries and where each row begins."""
     lists, values = b.column(b.schema.get_field_index("idx")), b.column(b.schema.get_field_index("val"))
@@ -193,7 +207,7 @@ def _gram(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 
     parts = rows.select("idx", "val").mapInArrow(run, "slice int, block binary")
     out = np.zeros(q.shape)
-    for r in parts.groupBy("slice").applyInPandas(add, "slice int, block binary").toLocalIterator():  # a slice at a time, in all one matrix of the size of q
+    for r in parts.groupBy("slice").applyInPandas(add, "slice int, block binary").collect():  # in all one matrix of the size of q
         at = r["slice"] * SLICE
         out[at : at + SLICE] = np.frombuffer(r["block"], np.float64).reshape(SLICE, width)[: n - at]
     shared.unpersist()

@@ -5,7 +5,7 @@ Rows whose id is divisible by 10 are queries, the others train.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import vec
@@ -147,7 +147,9 @@ def h7_encode(spark: SparkSession, d: str) -> DataFrame:
     """Test queries through the encoder interface."""
     q = table(spark, d, "test").select("query_id", "query_text")
     t = encode(q, hashing_encoder(64), "query_id", "query_text", dim=32, prefix="query: ")
-    return t.select(F.col("id").alias("query_id"), F.size("emb").alias("d"), F.round(vec.norm(F.col("emb")), 4).alias("norm"))
+    # a text has the vector of the same text, and no other
+    same = F.count(F.lit(1)).over(Window.partitionBy("emb"))
+    return t.select(F.col("id").alias("query_id"), F.size("emb").alias("d"), F.round(vec.norm(F.col("emb")), 4).alias("norm"), same.alias("n_same"))
 
 
 def _baseline(kind: str):
@@ -171,7 +173,7 @@ p AS (SELECT q.vec_id AS query_id, CAST(c.label AS VARCHAR) AS label, CAST(c.vec
 d AS (SELECT query_id, label, cluster, min(round(sqrt((1 - exp(-sqrt(sq))) ** 2 + (acos(greatest(-1, least(1, dot))) / 3.141592653589793) ** 2) / sqrt(2), 9)) AS d FROM p GROUP BY ALL)"""
 
 ORACLE = {
-    "h7_encode": "SELECT query_id, 32 AS d, 1.0::DOUBLE AS norm FROM test WHERE query_text IS NOT NULL",
+    "h7_encode": "SELECT query_id, 32 AS d, 1.0::DOUBLE AS norm, count(*) OVER (PARTITION BY lower(query_text)) AS n_same FROM test WHERE query_text IS NOT NULL",
     "h14_combination": "WITH t AS (SELECT event_id, 1 - exp(-abs(value) / 10) AS a, CAST(event_id % 100 AS DOUBLE) / 100 AS b FROM events) SELECT event_id, round(sqrt(a * a + b * b) / sqrt(2), 6) AS folding, round(a * b, 6) AS product, round(least(a, b), 6) AS minimum, round(greatest(a, b), 6) AS maximum, round(b, 6) AS cosine FROM t",
     "h15_block_minimum": _D + " SELECT query_id, label, cluster, round(d, 6) AS d FROM d",
     "h16_weights": _D + ", s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, label ORDER BY greatest(0, least(1, 1 - d)) ** 10 DESC, cluster) <= 2 THEN greatest(0, least(1, 1 - d)) ** 10 ELSE 0 END AS s FROM d), t AS (SELECT *, sum(s) OVER w AS total, count(*) OVER w AS m FROM s WINDOW w AS (PARTITION BY query_id, label)) SELECT query_id, label, cluster, round(CASE WHEN total <= 1e-12 THEN 1.0 / m ELSE s / total END, 6) AS p FROM t",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import adapter_queries, retrieval_queries, skew_queries, table_queries, text_queries
+from quillstone.plans import adapter_queries, check_queries, retrieval_queries, skew_queries, table_queries, text_queries
 
-MODULES = (skew_queries, retrieval_queries, text_queries, adapter_queries, table_queries)
+MODULES = (skew_queries, retrieval_queries, text_queries, adapter_queries, table_queries, check_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         if found:
             found = found.rsplit("/", 1)[0]
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
