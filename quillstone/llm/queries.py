@@ -226,6 +226,15 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "lang")
 
 
+def p8_parted(spark: SparkSession, d: str) -> DataFrame:
+    """For each document, whether it is either found or kept, and whether a blank one is kept."""
+    docs, found, kept = table(spark, d, "documents").select("doc_id", "text"), p8_found(spark, d).withColumn("f", F.lit(1)), p8_kept(spark, d).select("doc_id", F.lit(1).alias("k"))
+    t = docs.join(found, "doc_id", "left").join(kept, "doc_id", "left")
+    f, k = F.coalesce("f", F.lit(0)), F.coalesce("k", F.lit(0))
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")) == ""
+    return t.select("doc_id", (f + k == 1).alias("once"), (blank & (f == 1)).alias("blank_found"))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each kind of residue, by source as stored, and how much of them it covers."""
     docs = table(spark, d, "documents")
@@ -234,7 +243,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p3_kept": p3_kept, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_placed": p6_placed, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_kept": p7_kept, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_report": p8_report}
+    return {"p2_found": p2_found, "p2_neighbors": p2_neighbors, "p2_recall": p2_recall, "p3_found": p3_found, "p3_split": p3_split, "p3_incremental": p3_incremental, "p3_report": p3_report, "p3_kept": p3_kept, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p5_seen": p5_seen, "p6_found": p6_found, "p6_pack": p6_pack, "p6_placed": p6_placed, "p6_report": p6_report, "p7_found": p7_found, "p7_mix": p7_mix, "p7_kept": p7_kept, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_kept": p8_kept, "p8_parted": p8_parted, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -274,6 +283,7 @@ SELECT query_id, CAST(len(any_value(w)) AS INTEGER) AS n_words, CAST(count(pos)
         "p5_found": near.format(words.format("test"), words.format("train"), "true", "test_query_id", "train_query_id"),
         "p3_found": TIED,
         "p3_kept": "SELECT DISTINCT query_id, true AS together, true AS near_shares FROM train WHERE query_id IS NOT NULL",
+        "p8_parted": "SELECT doc_id, true AS once, false AS blank_found FROM documents",
         "p6_placed": "SELECT doc_id, coalesce(strlen(text), 0) AS n_tokens, coalesce(strlen(text), 0) <= 4096 AS whole, true AS gapless, 0 AS n_over_full FROM documents",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
         "p7_kept": sizes + " SELECT source, max_repeats, size, true AS repeats_kept, true AS weight_met, true AS budget_kept, true AS order_whole FROM z",
