@@ -25,6 +25,7 @@ QUARANTINE = "quarantine"
 TOPIC = r"[\p{L}\p{N}][_\- ][Tt](\d+)(?![\p{L}\p{N}])"  # label, separator, T, number
 BUCKET_UNITS = 1000
 POOL_UNITS = 100_000  # whose classes one task folds
+NEAR = 0.001  # overall shares as near as this are not mended
 STATE = "unit string, split string, stratum string, n_rows long, delivery int"
 
 
@@ -100,6 +101,75 @@ def _written(df: DataFrame, tag: str, what: str = "true") -> tuple[DataFrame, bo
     return out, not out.where(what).isEmpty()
 
 
+def moves(size: np.ndarray, count: np.ndarray, over: np.ndarray, near: float, width: int = 200_000, most: int = 16) -> list[tuple[int, int, int, int]]:
+    """(size, from, to, units): what brings the splits to at most `near` rows from their targets, or as near as is found.
+
+    count[s, i] units of size[s] rows may leave split i, which has over[i] rows too many. As many units
+    as fit at once are moved first; then a beam search moves up to `most` units one by one.
+    """
+    over, left, n = over.astype(float).copy(), count.copy(), len(over)
+    if np.abs(over).max() <= near or not len(size):
+        return []
+    for s in np.argsort(-size):
+        for i in np.argsort(-over):
+            for j in np.argsort(over):
+                k = int(min(left[s, i], max(0, min(over[i], -over[j])) // size[s]))
+                left[s, i], left[s, j] = left[s, i] - k, left[s, j] + k
+                over[i], over[j] = over[i] - k * size[s], over[j] + k * size[s]
+    # states: what is too much, and the steps that led there; equal states, by a sum of random numbers for their units, are kept once
+    steps = [(s, i, j) for s in range(len(size)) for i in range(n) for j in range(n) if i != j]
+    at, out, to = (np.array(x) for x in zip(*steps))
+    mark = np.random.default_rng(3).integers(1 << 40, size=count.shape)
+    change = size[at][:, None] * (np.eye(n)[to] - np.eye(n)[out])
+    states, names, paths, seen = over[None, :], np.zeros(1, np.int64), np.zeros((1, 0), np.int64), np.zeros(1, np.int64)
+    best, path = np.abs(over).max(), paths[0]
+    for _ in range(most):
+        if best <= near or not len(states):
+            break
+        can = np.repeat(left[None, at, out], len(states), 0)  # units that a step may still take
+        for p in paths.T:
+            can += (at[p][:, None] == at) * ((to[p][:, None] == out).astype(int) - (out[p][:, None] == out))
+        who, step = np.nonzero(can > 0)
+        name = names[who] + mark[at[step], to[step]] - mark[at[step], out[step]]
+        name, first = np.unique(name, return_index=True)
+        new = ~np.isin(name, seen)
+        name, first = name[new], first[new]
+        after = states[who[first]] + change[step[first]]
+        far = np.abs(after).max(1)
+        keep = np.argsort(far, kind="stable")[: max(16, width // len(steps))]
+        states, names, paths = after[keep], name[keep], np.column_stack([paths[who[first[keep]]], step[first[keep]]])
+        seen = np.concatenate([seen, names])
+        if len(keep) and far[keep[0]] < best - 1e-9:
+            best, path = far[keep[0]], paths[0]
+    for p in path:
+        left[at[p], out[p]] -= 1
+        left[at[p], to[p]] += 1
+    found = []
+    for s, more in enumerate(left - count):  # only what changes in all, so that no unit moves twice
+        for i in np.flatnonzero(more < 0):
+            for j in np.flatnonzero(more > 0):
+                if k := min(-more[i], more[j]):
+                    found.append((int(size[s]), int(i), int(j), int(k)))
+                    more[i], more[j] = more[i] + k, more[j] - k
+    return found
+
+
+def _moved(given: DataFrame, moved: list[tuple[int, int, int, int]], n_splits: int) -> DataFrame:
+    """Classes (pool, n_rows, bucket, give, over) after the moves; units leave where their split has most rows too many."""
+    limits, sizes = {}, sorted({m[0] for m in moved})
+    for s, i, j, k in moved:  # of the units of a size that leave a split, those from lo on go to one other split
+        lo = sum(m[3] for m in moved if m[:2] == (s, i) and m[2] < j)
+        limits[s, i, j] = (lo, lo + k)
+    pairs = [(i, j) for i in range(n_splits) for j in range(n_splits) if i != j]
+    table = given.sparkSession.createDataFrame([(s, *[x for p in pairs for x in limits.get((s, *p), (0, 0))]) for s in sizes], "n_rows long, " + ", ".join(f"lo{i}_{j} long, hi{i}_{j} long" for i, j in pairs))
+    t = given.join(F.broadcast(table), "n_rows", "left").na.fill(0)  # few sizes
+    for i in range(n_splits):  # classes of a size are as many as pools, and one for each BUCKET_UNITS units
+        t = t.withColumn(f"upto{i}", F.sum(F.col("give")[i]).over(Window.partitionBy("n_rows").orderBy(F.desc(F.col("over")[i]), "pool", "bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    gone = lambda i, j: F.greatest(F.lit(0), F.least(f"upto{i}", f"hi{i}_{j}") - F.greatest(F.col(f"upto{i}") - F.col("give")[i], F.col(f"lo{i}_{j}")))
+    give = [sum([gone(j, i) - gone(i, j) for j in range(n_splits) if j != i], F.col("give")[i]) for i in range(n_splits)]
+    return t.select("pool", "n_rows", "bucket", F.array(*give).alias("give"), "over")
+
+
 class SplitTable:
     """Splits of the units seen so far: `topics` (node, root) and `units` (unit, split, ...).
 
@@ -203,7 +273,8 @@ class SplitTable:
         Units are compressed to classes of equal (pool, rows, bucket); a sequential fold over a pool's classes decides
         how many units of each go to which split; units take their places by a hash. Strata of few rows are pooled, and
         those of more than POOL_UNITS units are dealt to several pools. What the pools' sums then lack of the overall
-        shares is added to what the pools want, in proportion to their rows, and the fold is done again.
+        shares is added to what the pools want, in proportion to their rows, and the fold is done again. What is then
+        missing still, because units are large beside the pools, is mended by moving single units (see `moves`).
         """
         spark, names = self.spark, [n for n, _ in self.splits]
         shares = np.array([w for _, w in self.splits])
@@ -241,20 +312,33 @@ class SplitTable:
                         i = int(np.argmax(want - held + tie))
                         give[i] += 1
                         held[i] += n
-                    out.append(np.cumsum(give))
-                return pdf[["pool", "n_rows", "bucket"]].assign(upto=[x.tolist() for x in out])
+                    out.append(give.tolist())
+                over = held - shares * rows
+                return pdf[["pool", "n_rows", "bucket"]].assign(give=out, over=[over.tolist()] * len(pdf))
 
-            return materialize(classes.groupBy("pool").applyInPandas(fold, "pool string, n_rows long, bucket int, upto array<long>"), "given-classes")
+            return materialize(classes.groupBy("pool").applyInPandas(fold, "pool string, n_rows long, bucket int, give array<long>, over array<double>"), "given-classes")
 
-        given = fold_with(np.zeros(len(names)))
-        got = given.select("n_rows", *[(F.col("upto")[i] - (F.col("upto")[i - 1] if i else 0)).alias(f"g{i}") for i in range(len(names))])
-        sums = got.agg(*[F.coalesce(F.sum(F.col("n_rows") * F.col(f"g{i}")), F.lit(0)) for i in range(len(names))]).first()
         old = kept.where(F.col("split") != QUARANTINE).groupBy("split").agg(F.sum("n_rows").alias("n")).collect()  # one row for each split
-        reached = np.array(sums, float) + np.array([sum(r["n"] for r in old if r["split"] == n) for n in names], float)
-        if reached.sum():
-            lack = shares - reached / reached.sum()
-            if np.abs(lack).max() * reached.sum() >= 1:
+        before = np.array([sum(r["n"] for r in old if r["split"] == n) for n in names], float)
+        # units of each size in each split: the different sizes are at most the root of twice the rows
+        by_size = [F.sum(F.col("give")[i]).alias(f"g{i}") for i in range(len(names))]
+
+        def reached(t: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows = np.array([tuple(r) for r in t.groupBy("n_rows").agg(*by_size).orderBy("n_rows").collect()], np.int64).reshape(-1, len(names) + 1)
+            return rows[:, 0], rows[:, 1:], before + rows[:, 0] @ rows[:, 1:]
+
+        given = fold_with(np.zeros(len(names)))
+        size, count, have = reached(given)
+        if have.sum():
+            lack = shares - have / have.sum()
+            if np.abs(lack).max() * have.sum() >= 1:
                 given = fold_with(lack)
+                size, count, have = reached(given)
+            moved = moves(size, count, have - shares * have.sum(), NEAR * have.sum())
+            if moved:
+                given = materialize(_moved(given, moved, len(names)), "mended-classes")
+        sums = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.aggregate(F.slice("give", 1, i), F.lit(0).cast("long"), lambda a, b: a + b))
+        given = given.select("pool", "n_rows", "bucket", sums.alias("upto"))
         place = Window.partitionBy("pool", "n_rows", "bucket").orderBy(F.xxhash64("unit", F.lit(3)), "unit")
         split = F.element_at(F.array(*[F.lit(n) for n in names]), F.size(F.filter("upto", lambda u: u < F.col("place"))) + 1)
         return new.withColumn("place", F.row_number().over(place)).join(given, ["pool", "n_rows", "bucket"]).select("unit", split.alias("split"), "stratum", "n_rows")

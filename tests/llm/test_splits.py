@@ -62,6 +62,19 @@ def test_related_rows_land_together_and_shares_hold(spark):
     assert abs(n["train"] / len(rows) - 0.8) < 0.03 and abs(n["test"] / len(rows) - 0.1) < 0.02
 
 
+def test_overall_shares_hold_where_units_are_large_beside_their_strata(spark):
+    sizes = [46, 36, 17, 17, 14, 12, 11, 5, 1, 1]
+    rows = [(f"q{i}_{k}", f"L_T{i}", f"L{i % 7}") for i, n in enumerate(sizes) for k in range(n)]
+    t = splits.SplitTable(spark)
+    t.update(frame(spark, rows))
+    n = Counter(r["split"] for r in t.assignments().collect())
+    assert all(abs(n[name] / len(rows) - share) < 0.01 for name, share in splits.SPLITS)
+    got = {r["unit"]: r["split"] for r in t.assignments().collect()}
+    t.update(frame(spark, [(f"n{i}_{k}", f"L_T{100 + i}", f"L{i % 7}") for i, n in enumerate(sizes) for k in range(n)]))
+    assert all(r["split"] == got[r["unit"]] for r in t.units.collect() if r["unit"] in got)
+    assert sum(r["n_rows"] for r in t.units.collect()) == 2 * len(rows)
+
+
 def test_updates_keep_fill_and_quarantine(spark, tmp_path):
     first = [(f"a{i}", f"L_T{i}", "L") for i in range(100)]
     t = splits.SplitTable(spark)
