@@ -211,6 +211,36 @@ def test_tfidf_and_svd(spark):
     assert chars == {" a ": 2, " b ": 1}
 
 
+def test_svd_matrices_stay_in_the_shared_folder(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    sent = []
+    real = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    t = spark.createDataFrame([(i, f"t{(i * j) % 11:02d}", 1.0 + j) for i in range(40) for j in range(3)], "doc_id long, term string, w double").groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
+    svd = L.TruncatedSVD.fit(t, 5, t.select("term").distinct())
+    assert not sent and not isinstance(svd.components, np.ndarray)
+    assert [(r["slice"], len(r["block"])) for r in svd.components.collect()] == [(0, 11 * 5 * 4)]
+    x = np.zeros((40, 11))
+    for r in t.collect():
+        x[r["doc_id"], int(r["term"][1:])] = r["w"]
+    assert np.allclose(svd.singular, np.linalg.svd(x)[1][:5], rtol=1e-5)
+
+
+def test_lexical_index_writes_no_dense_vectors(spark):
+    from pathlib import Path
+
+    from quillstone.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "quillstone"
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size() if folder.exists() else 0
+    docs = spark.createDataFrame([(i, f"w{i % 97} w{i % 89} w{i % 83}") for i in range(4000)], "id long, text string")
+    index, svd, vocab = L.build_index(docs, "id", "text", 100, iterations=1)
+    assert index.count() == 4000
+    assert size() - before < 4000 * 100 * 4 / 2
+
+
 def test_lexical_index_and_encoders(spark):
     from quillstone.operators import encode as E
 
