@@ -96,6 +96,19 @@ def test_topk_is_the_same_on_any_partitions(spark):
     assert key(one) == key(many) == key(T.topk(q, c, 5, "sql").collect())
 
 
+def test_topk_streams_the_corpus_past_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 5)
+    monkeypatch.setattr(T, "GROUP", 2)
+    rng = random.Random(3)
+    c = spark.createDataFrame([(f"u{i:03d}", [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(150)], "unit_id string, emb array<float>").repartition(3)
+    q = c.limit(31).withColumnRenamed("unit_id", "query_id")
+    got = T.topk(q, c, 4)
+    assert "CoGroups" not in got._jdf.queryExecution().toString()  # no copies of the corpus for each block
+    key = lambda t: sorted((r["query_id"], r["rank"], r["unit_id"], r["score"]) for r in t.collect())
+    assert key(got) == key(T.topk(q, c, 4, "sql"))
+    assert T.topk(q.limit(0), c, 4).count() == 0
+
+
 def test_nearest_other(spark):
     p = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 5.0]), (4, [5.0, 5.0])], "id long, x array<float>")
     assert {(r["id"], r["other"]) for r in T.nearest_other(p).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
