@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.vec import dot, unit
 from quillstone.operators.retrieval import topk
-from quillstone.session import materialize, tasks
+from quillstone.session import discard, materialize, release, tasks
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 16384  # queries of a shard in one task
 BATCH = 512  # queries scored together
 PIECE = 256  # members scored together
+PASS_VISITS, PASS_LEAST = 6, 1 << 20  # copies of queries sent at once: for each row of the table, and in all
+ENTRIES = 1 << 22  # elements of a matrix that is worked on at once
+SPARE = 4  # with a threshold, so many times the cells that hold the wanted share of the sample's neighbours
+LEAST_WANTED = 64  # wanted neighbours in the sample that can tell how many cells hold them
 
 
 @dataclass
@@ -73,14 +78,17 @@ class AdditiveQuantizer:
             cost = (err[:, :, None] + self.norms[m] - 2 * (left.reshape(-1, x.shape[1]) @ book.T).reshape(n, -1, len(book))).reshape(n, -1)
             top, err = _smallest(cost, min(beam, cost.shape[1]))
             parent, code = top // len(book), (top % len(book)).astype(np.int32)
-            left = np.take_along_axis(left, parent[:, :, None], 1) - book[code]
+            if m + 1 < len(self.books[:books]):
+                left = np.take_along_axis(left, parent[:, :, None], 1) - book[code]
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), code[:, :, None]], 2)
         return codes, err - start
 
     def nearest_cells(self, x: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest cells of each row (n, n_cells), the best first, and their |x - centre|^2 - |x|^2."""
-        codes, err = self.encode(x, self.cell_books, n_cells)
-        return self.cell_of(codes), err
+        first, *more = (len(b) for b in self.books[: self.cell_books])
+        step = max(1, ENTRIES // max(first, min(n_cells, first) * max(x.shape[1], *more) if more else 0))  # beams of many cells are wide
+        parts = [self.encode(x[i : i + step], self.cell_books, n_cells) for i in range(0, max(1, len(x)), step)]
+        return self.cell_of(np.concatenate([c for c, _ in parts])), np.concatenate([e for _, e in parts])
 
     def approximate(self, codes: np.ndarray) -> np.ndarray:
         return sum(b[codes[:, m]] for m, b in enumerate(self.books))
@@ -114,7 +122,8 @@ def _smallest(cost: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     return top, value
 
 
-def _nearest(x: np.ndarray, book: np.ndarray, block: int = 4096) -> np.ndarray:
+def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    block = max(64, ENTRIES // len(book))
     half = 0.5 * (book * book).sum(1)
     return np.concatenate([np.argmax(x[i : i + block] @ book.T - half, 1) for i in range(0, len(x), block)]) if len(x) else np.zeros(0, np.int64)
 
@@ -135,8 +144,11 @@ def _kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator) ->
 
 
 def _units(vecs: pd.Series) -> np.ndarray:
-    raw = np.stack(vecs.to_numpy()).astype(np.float64)
-    return (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+    out = np.stack(vecs.to_numpy()).astype(np.float32, copy=False)
+    for i in range(0, len(out), 8192):
+        raw = out[i : i + 8192].astype(np.float64)
+        out[i : i + 8192] = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    return out
 
 
 def _to_bytes(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -184,9 +196,12 @@ def fit_quantizer(reps: DataFrame, n: int, n_books: int, book_size: int, cell_ro
     return AdditiveQuantizer.fit(x, cell_sizes, max(n_books, len(cell_sizes) + 1), book_size)
 
 
-def measured_probes(coded: DataFrame, shared, n: int, k: int, target_recall: float, sample_queries: int) -> int:
+def measured_probes(coded: DataFrame, shared, n: int, k: int, target_recall: float, sample_queries: int, low: float = -1.0) -> int:
     """The fewest nearest cells that hold `target_recall` of the k nearest rows of a sample of queries.
 
+    Where only similarities of `low` or more are wanted and the sample has enough of them, these count alone,
+    and SPARE times as many cells are searched.
+
     coded: (rid, q, scale, cell). The sample (about `sample_queries` rows, by a hash of the id) is compared
     with all rows; each task passes on its k best for each query, so that little is shuffled.
     """
@@ -215,19 +230,45 @@ def measured_probes(coded: DataFrame, shared, n: int, k: int, target_recall: flo
     near = coded.select("rid", "q", "scale", "cell").mapInPandas(nearest, "rid long, cell long, s double")
     w = Window.partitionBy("rid").orderBy(F.desc("s"), "cell")
     near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toPandas()  # k rows for each query of the sample
-    aq, width = shared.value, 16
-    row = np.searchsorted(ids, near["rid"].to_numpy(np.int64))
+    spare, wanted = 1, near[near["s"] >= low - ROUNDING]
+    if low > -1 and len(wanted) >= LEAST_WANTED:
+        near, spare = wanted, SPARE
+    return needed_cells(shared.value, x, np.searchsorted(ids, near["rid"].to_numpy(np.int64)), near["cell"].to_numpy(np.int64), target_recall, spare)
+
+
+def needed_cells(aq: AdditiveQuantizer, x: np.ndarray, row: np.ndarray, cell: np.ndarray, share: float, spare: int = 1) -> int:
+    """`spare` times the fewest nearest cells of x[row[i]] that hold the wanted share of all cell[i]; a few rows are looked at at once."""
+    order, width = np.argsort(row, kind="stable"), 16
+    row, cell = row[order], cell[order]
     while True:
         width = min(width, aq.cells)
-        cells, _ = aq.nearest_cells(x, width)
-        hit = cells[row] == near["cell"].to_numpy(np.int64)[:, None]
-        rank = np.sort(np.where(hit.any(1), hit.argmax(1), width))
-        need = rank[min(len(rank) - 1, math.ceil(target_recall * len(rank)) - 1)] + 1
+        step, ranks = max(1, ENTRIES // (8 * width)), []
+        for i in range(0, len(x), step):
+            a, b = np.searchsorted(row, [i, i + step])
+            if b > a:
+                hit = aq.nearest_cells(x[i : i + step], width)[0][row[a:b] - i] == cell[a:b, None]
+                ranks.append(np.where(hit.any(1), hit.argmax(1), width))
+        rank = np.sort(np.concatenate(ranks))
+        need = rank[min(len(rank) - 1, math.ceil(share * len(rank)) - 1)] + 1
         if need <= width or width == aq.cells:
-            return int(min(need, aq.cells))
+            return int(min(spare * need, aq.cells))
         width *= 4
 
 
+def _near_order(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which near ones are close: halves along the direction in which they differ most."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= 2:
+            out.append(part)
+            continue
+        y = x[part] - x[part].mean(0)
+        part = part[np.argsort(y @ np.linalg.eigh(y.T @ y)[1][:, -1], kind="stable")]
+        todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+    return np.concatenate(out)
+
+
 def knn(
     df: DataFrame,
     id_col: str = "sentence_id",
@@ -258,13 +299,16 @@ def knn(
     spark = df.sparkSession
     schema = "query_id long, neighbor_id long, rank int, similarity double"
     v = unit_vectors(df, id_col, vec_col, dim)
-    v = materialize(v.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(17), F.reverse("vec"))}), "vectors")
+    v = v.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(17), F.reverse("vec"))})
     asked = F.coalesce(F.bool_or(F.expr(query_filter)), F.lit(False)) if query_filter else F.lit(True)  # a class asks if any of its ids does
-    reps = materialize(v.groupBy("h1", "h2").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"), asked.alias("asked"), F.first("vec").alias("vec")), "vector-classes")
+    reps = materialize(v.groupBy("h1", "h2").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"), asked.alias("asked")), "vector-classes")
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], schema)
-    aq = fit_quantizer(reps, n, n_books, book_size, cell_rows, sample_rows)
+    vecs = v.select(F.col("id").alias("rid"), "vec")  # read where they are: no copy of all vectors is written
+    v = materialize(v.select("id", "h1", "h2"), "vector-ids")
+    own = reps.select("rid", "asked").join(vecs, "rid")
+    aq = fit_quantizer(own, n, n_books, book_size, cell_rows, sample_rows)
     shared = spark.sparkContext.broadcast(aq)  # at most (4096 + n_books * book_size) codewords
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,48 +324,61 @@ def knn(
                 norm = (approx * approx).sum(1)
                 yield pd.DataFrame({"rid": part["rid"].to_numpy(), "q": q, "scale": scale, "codes": [r.tobytes() for r in codes.astype(np.int16)], "norm": norm, "cell": aq.cell_of(codes), "asked": part["asked"].to_numpy()})
 
-    coded = reps.select("rid", "vec", "asked").repartition(max(tasks(spark), n // 16384)).mapInPandas(encode, "rid long, q binary, scale float, codes binary, norm float, cell long, asked boolean")
+    coded = own.select("rid", "vec", "asked").repartition(max(tasks(spark), n // 16384)).mapInPandas(encode, "rid long, q binary, scale float, codes binary, norm float, cell long, asked boolean")
     coded = materialize(coded, "vector-codes")
-    probes = measured_probes(coded, shared, n, k, target_recall, sample_queries)
+    low = float(min_similarity)
+    probes = measured_probes(coded, shared, n, k, target_recall, sample_queries, low)
+    release(spark)
 
-    # shards: cells in order until one is full; a cell beyond the bound has shards of its own. Both tables are bounded by the codebooks.
+    # shards: cells, near ones together, until one is full; a cell beyond the bound has shards of its own. All tables are bounded by the codebooks.
     first, blocks, n_shards, room = np.full(aq.cells, -1, np.int64), np.ones(aq.cells, np.int64), 0, 0
-    for r in coded.groupBy("cell").count().orderBy("cell").collect():
-        if r["count"] > SHARD_ROWS:
-            blocks[r["cell"]] = math.ceil(r["count"] / SHARD_ROWS)
-            first[r["cell"]], n_shards, room = n_shards, n_shards + blocks[r["cell"]], 0
+    found = coded.groupBy("cell").count().toPandas()
+    members = np.zeros(aq.cells, np.int64)
+    members[found["cell"]] = found["count"]
+    for cell in np.arange(aq.cells).reshape(len(aq.books[0]), -1)[_near_order(aq.books[0])].ravel():
+        if members[cell] == 0:
+            continue
+        if members[cell] > SHARD_ROWS:
+            blocks[cell] = math.ceil(members[cell] / SHARD_ROWS)
+            first[cell], n_shards, room = n_shards, n_shards + blocks[cell], 0
             continue
-        if r["count"] > room:
+        if members[cell] > room:
             n_shards, room = n_shards + 1, SHARD_ROWS
-        first[r["cell"]] = n_shards - 1
-        room -= r["count"]
+        first[cell] = n_shards - 1
+        room -= members[cell]
+    # lookup tables cost each visit to a shard a product with each codeword: where fewer members are wanted there, their bytes are compared at once
+    direct = low > -1 and probes * n / len(found) <= min(probes, n_shards) * sum(len(b) for b in aq.books[aq.cell_books :])
+    share = spark.sparkContext.broadcast(np.minimum(1.0, members / blocks / SHARD_ROWS))
     plan = spark.sparkContext.broadcast((first, blocks))
 
-    def visits(q: pd.Series, scale: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shard) for each shard that a row's cells are in; each row's distance to the last of its cells, and the nearest."""
+    def visits(q: pd.Series, scale: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard) for each shard that a row's cells are in; each row's distance to the last of its cells, and the nearest; the work in each shard."""
         aq, (first, blocks) = shared.value, plan.value
         cells, err = aq.nearest_cells(_from_bytes(q, scale), probes)
-        own = cells[:, 0]
+        home = cells[:, 0]
         row, cell = np.repeat(np.arange(len(cells)), cells.shape[1]), cells.ravel()
         row, cell = row[first[cell] >= 0], cell[first[cell] >= 0]
         shard, which = _ranges(first[cell], blocks[cell])
         both = np.unique(row[which] * n_shards + shard)
-        return both // n_shards, both % n_shards, err[:, -1], own
+        work = np.bincount(shard, share.value[cell[which]] if direct else None, minlength=n_shards)
+        return both // n_shards, both % n_shards, err[:, -1], home, work if direct else np.bincount(both % n_shards, minlength=n_shards)
 
     step = max(64, (1 << 22) // max(len(aq.books[0]), probes * (book_size if aq.cell_books > 1 else 1)))
 
     def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(n_shards, np.int64)
+        n, work = np.zeros(n_shards, np.int64), np.zeros(n_shards)
         for b in batches:
             for i in range(0, len(b), step):
-                n += np.bincount(visits(b["q"].iloc[i : i + step], b["scale"].iloc[i : i + step])[1], minlength=n_shards)
-        yield pd.DataFrame({"shard": np.flatnonzero(n), "visits": n[n > 0]})
+                _, shard, _, _, more = visits(b["q"].iloc[i : i + step], b["scale"].iloc[i : i + step])
+                n += np.bincount(shard, minlength=n_shards)
+                work += more
+        yield pd.DataFrame({"shard": np.flatnonzero(n), "visits": n[n > 0], "work": work[n > 0]})
 
     asking = coded.where("asked").select("rid", "q", "scale")
-    visited = asking.mapInPandas(count_visits, "shard long, visits long").groupBy("shard").agg(F.sum("visits").alias("visits")).collect()
-    deals = np.ones(n_shards, np.int64)  # tasks that the queries of a shard are dealt to
-    for r in visited:
-        deals[r["shard"]] = math.ceil(r["visits"] / QUERY_ROWS)
+    visited = asking.mapInPandas(count_visits, "shard long, visits long, work double").groupBy("shard").agg(F.sum("visits").alias("visits"), F.sum("work").alias("work")).toPandas()
+    passes = max(1, math.ceil(visited["visits"].sum() / max(PASS_LEAST, PASS_VISITS * n)))
+    deals = np.ones(n_shards, np.int64)  # tasks that the queries of a shard are dealt to, in a pass
+    deals[visited["shard"]] = np.ceil(visited["work"] / passes / QUERY_ROWS)
     dealt, before = spark.sparkContext.broadcast(deals), spark.sparkContext.broadcast(np.cumsum(deals) - deals)
     columns = ["slot", "shard", "deal", "asks", "rid", "q", "scale", "codes", "norm", "cell"]
     shape = "slot int, shard long, deal long, asks boolean, rid long, q binary, scale float, codes binary, norm float, cell long"
@@ -338,14 +395,11 @@ def knn(
         for b in batches:
             for i in range(0, len(b), step):
                 c = b.iloc[i : i + step]
-                row, shard, reach, own = visits(c["q"], c["scale"])
+                row, shard, reach, home, _ = visits(c["q"], c["scale"])
                 deal = (c["rid"].to_numpy(np.int64)[row] * 2654435761 >> 7) % dealt.value[shard]
-                yield c.iloc[row].assign(slot=before.value[shard] + deal, shard=shard, deal=deal, asks=True, codes=None, norm=reach[row], cell=own[row])[columns]
+                yield c.iloc[row].assign(slot=before.value[shard] + deal, shard=shard, deal=deal, asks=True, codes=None, norm=reach[row], cell=0 if direct else home[row])[columns]
 
-    routed = coded.select("rid", "q", "scale", "codes", "norm", "cell").mapInPandas(send_members, shape).unionByName(asking.mapInPandas(send_queries, shape))
-    # every (shard, deal) is about as much work as any other, and gets a partition of its own
-    routed = routed.repartitionById(int(deals.sum()), "slot").drop("slot").sortWithinPartitions("shard", "deal", "asks", "cell")  # queries of a cell search much the same cells; work, not bytes, decides
-    low = float(min_similarity)
+    both = low > -1 and not query_filter  # few pairs are similar enough: what one side finds, both have
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Members of a shard are held, its queries stream past."""
@@ -360,15 +414,29 @@ def knn(
                     held.append(c)
                 elif held:
                     index = index or _Shard(pd.concat(held), shared.value)
-                    for i in range(0, len(c), BATCH):
-                        yield index.search(c.iloc[i : i + BATCH], k, shortlist, low)
-
-    near = routed.mapInPandas(search, "query_rid long, rid long, s float")
+                    for i in range(0, len(c), BATCH * (16 if direct else 1)):
+                        yield index.compare(c.iloc[i : i + BATCH * 16], k, low, both) if direct else index.search(c.iloc[i : i + BATCH], k, shortlist, low, both)
+
+    sent = coded.select("rid", "q", "scale", "codes", "norm", "cell").mapInPandas(send_members, shape)
+    nears = []
+    for i in range(passes):  # a share of the queries at once, so that their copies take bounded room
+        some = asking.where(F.pmod(F.xxhash64("rid", F.lit(23)), F.lit(passes)) == i) if passes > 1 else asking
+        # every (shard, deal) is about as much work as any other, and gets a partition of its own
+        routed = sent.unionByName(some.mapInPandas(send_queries, shape)).repartitionById(int(deals.sum()), "slot").drop("slot")
+        routed = routed.sortWithinPartitions("shard", "deal", "asks", "cell")  # queries of a cell search much the same cells; work, not bytes, decides
+        nears.append(routed.mapInPandas(search, "query_rid long, rid long, s float"))
+        if passes > 1:
+            nears[-1] = materialize(nears[-1], "near-in-shards")
+            release(spark)
+    near = reduce(DataFrame.unionByName, nears)
+    if both:
+        near = near.repartition("query_rid").groupBy("query_rid", "rid").agg(F.max("s").alias("s"))  # a pair may be found from both sides
     # the k best of all shards by their bytes, and what rounding may hide behind them; then exactly
     w = Window.partitionBy("query_rid").orderBy(F.desc("s"), "rid")
     near = near.withColumn("r", F.row_number().over(w)).withColumn("last", F.min(F.when(F.col("r") <= k, F.col("s"))).over(Window.partitionBy("query_rid")))
-    near = near.where(F.col("s") >= F.col("last") - 2 * ROUNDING).select("query_rid", "rid")
-    vecs = reps.select("rid", "vec")
+    near = materialize(near.where(F.col("s") >= F.col("last") - 2 * ROUNDING).select("query_rid", "rid"), "near-by-bytes")
+    discard(coded)
+    release(spark)
     near = near.join(vecs, "rid").withColumnRenamed("vec", "y").join(vecs.select(F.col("rid").alias("query_rid"), F.col("vec").alias("x")), "query_rid")
     x, y = F.col("x"), F.col("y")
     near = near.select("query_rid", "rid", F.least(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)), F.lit(1.0)).alias("similarity")).where(F.col("similarity") >= low)
@@ -421,8 +489,8 @@ class _Shard:
                 score[i - a : to - a] += np.take(tables[m], self.codes[m, i:to], axis=0, out=self.entries[: to - i, :n], mode="clip")
         return score
 
-    def search(self, queries: pd.DataFrame, k: int, shortlist: int, low: float) -> pd.DataFrame:
-        """The k best members of the queries' cells by bytes, with what may tie with them."""
+    def search(self, queries: pd.DataFrame, k: int, shortlist: int, low: float, both: bool) -> pd.DataFrame:
+        """The k best members of the queries' cells by bytes, with what may tie with them; `both`: each pair also from the member's side."""
         q, qids, reach = _from_bytes(queries["q"], queries["scale"]), queries["rid"].to_numpy(np.int64), queries["norm"].to_numpy(np.float32)
         n = len(q)
         # a cell that any query of the batch wants is scored for all of them: picking queries costs more than their scores
@@ -462,13 +530,37 @@ class _Shard:
         for i in range(0, len(row), 65536):
             sim[i : i + 65536] = np.einsum("ij,ij->i", self.x[row[i : i + 65536]], q[col[i : i + 65536]])
         ok = sim >= low - ROUNDING
-        row, col, sim = row[ok], col[ok], sim[ok]
-        order = np.lexsort((self.ids[row], -sim, col))
-        row, col, sim = row[order], col[order], sim[order]
-        start = np.searchsorted(col, col)
-        last = sim[np.minimum(start + k - 1, np.searchsorted(col, col, side="right") - 1)] if len(sim) else sim
-        ok = sim >= last - 2 * ROUNDING
-        return pd.DataFrame({"query_rid": qids[col[ok]], "rid": self.ids[row[ok]], "s": sim[ok]})
+        return _best(qids[col[ok]], self.ids[row[ok]], sim[ok], k, both)
+
+    def compare(self, queries: pd.DataFrame, k: int, low: float, both: bool) -> pd.DataFrame:
+        """The same by products with all members of the queries' cells."""
+        q, qids, reach = _from_bytes(queries["q"], queries["scale"]), queries["rid"].to_numpy(np.int64), queries["norm"].to_numpy(np.float32)
+        wanted = self.centre_norms[:, None] - 2 * self.centres @ q.T <= reach[None, :] + 1e-4
+        out = []
+        for a, b, asks in zip(self.at, self.to, wanted):
+            cols = np.flatnonzero(asks)
+            step = max(1, ENTRIES // (b - a))
+            for i in range(0, len(cols), step):
+                some = cols[i : i + step]
+                s = self.x[a:b] @ q[some].T
+                r, w = np.divmod(np.flatnonzero(s >= low - ROUNDING), len(some))
+                m, asked = self.ids[a + r], qids[some[w]]
+                ok = m != asked
+                out.append((asked[ok], m[ok], s[r[ok], w[ok]]))
+        asked, m, s = (np.concatenate(z) for z in zip(*out)) if out else (qids[:0], self.ids[:0], np.zeros(0, np.float32))
+        return _best(asked, m, s, k, both)
+
+
+def _best(asked: np.ndarray, found: np.ndarray, s: np.ndarray, k: int, both: bool) -> pd.DataFrame:
+    """(query_rid, rid, s): the k best found for each that asked, and what rounding may hide behind them; `both`: also the other way round."""
+    if both:
+        return pd.concat([_best(asked, found, s, k, False), _best(found, asked, s, k, False)])
+    order = np.lexsort((found, -s, asked))
+    asked, found, s = asked[order], found[order], s[order]
+    start = np.searchsorted(asked, asked)
+    last = s[np.minimum(start + k - 1, np.searchsorted(asked, asked, side="right") - 1)] if len(s) else s
+    ok = s >= last - 2 * ROUNDING
+    return pd.DataFrame({"query_rid": asked[ok], "rid": found[ok], "s": s[ok]})
 
 
 def _best_columns(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

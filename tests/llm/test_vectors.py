@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from quillstone.llm import vectors
@@ -95,3 +97,29 @@ def test_encoding_is_no_worse_with_a_wider_beam():
         assert np.allclose(aq.centres(aq.cell_of(codes[:, 0])), aq.books[0][codes[:, 0, 0]])
         errors.append(((x - approx) ** 2).sum())
     assert errors[1] <= errors[0]
+
+
+def test_counting_cells_takes_little_memory():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(512, 64)).astype(np.float32)
+    for sizes in ([2048], [512, 4]):  # the nearest 2048 cells of 512 rows, with what each leaves over, would be 268 MB
+        aq = vectors.AdditiveQuantizer([rng.normal(size=(n, 64)).astype(np.float32) for n in sizes], len(sizes))
+        far = aq.nearest_cells(x, 2048)[0][:, -1]
+        tracemalloc.start()
+        need = vectors.needed_cells(aq, x, np.arange(512), far, 1.0)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert need == 2048 and most < 150e6
+
+
+def test_with_a_threshold_few_cells_hold_what_is_wanted(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 64)
+    monkeypatch.setattr(vectors, "PASS_LEAST", 16)
+    monkeypatch.setattr(vectors, "PASS_VISITS", 2)
+    probes, measure = [], vectors.measured_probes
+    monkeypatch.setattr(vectors, "measured_probes", lambda *a: probes.append(measure(*a)) or probes[-1])
+    rows = data(900, 32)
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(frame(spark, rows), "sentence_id", "embeddings", 3, 0.8, cell_rows=8).collect()}
+    assert got == {tuple(sorted((i, j))) for i, near in brute(rows, 3, 0.8).items() for j, _ in near}
+    vectors.knn(frame(spark, rows), k=3, cell_rows=8)
+    assert probes[0] <= 16 < probes[1]
