@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.llm import mixing, neardup, packing, words
+from quillstone.llm import crosssplit, mixing, neardup, packing, words
 from quillstone.llm.fmindex import FMIndex
 from quillstone.llm.residue import ResidueDetector, clean, level
 
@@ -91,3 +91,26 @@ def test_mixtures_keep_repetitions_and_budget(sizes, targets):
 def test_ceil_share(n):
     t = Fraction(7, 10)
     assert words.ceil_share(t, np.array([n]))[0] == -(-7 * n // 10)
+
+
+@given(WORD_SETS, st.lists(st.sets(st.integers(-4, 8), min_size=1, max_size=12), min_size=1, max_size=20), st.sampled_from(["0.3", "0.5", "0.7", "0.9", "1"]))
+@settings(max_examples=100, deadline=None)
+def test_the_filter_of_triples_passes_every_similar_set(others, sets, threshold):
+    t, known = Fraction(threshold), (np.arange(-2, 3), np.arange(5) + 1)
+    lists = lambda some: words.flatten([np.array(sorted(s), np.int64) for s in some])
+    (e, e_starts), (a, a_starts) = lists([*sets, *others]), lists(sets[::-1] + [s | {100} for s in sets])
+    bits = crosssplit.triple_filter(words.rare_first(e, e_starts, *known), e_starts, t)
+    keys, of, large = crosssplit.lookup_keys(words.rare_first(a, a_starts, *known), a_starts, t)
+    passed = set(of[bits.has(keys)]) | set(large)
+    for i, x in enumerate(sets[::-1] + [s | {100} for s in sets]):
+        if any(len(x & y) >= t * len(x | y) for y in [*sets, *others]):
+            assert i in passed
+
+
+def test_few_unlike_sets_pass_the_filter_of_triples():
+    rng, t = np.random.default_rng(4), Fraction("0.7")
+    starts = np.arange(0, 2000 * 15 + 1, 15)
+    some, unlike = rng.integers(0, 2**60, 30000), rng.integers(0, 2**60, 30000)
+    keys, of, large = crosssplit.lookup_keys(unlike, starts, t)
+    assert not len(large) and len(set(of[crosssplit.triple_filter(some, starts, t).has(keys)])) < 100
+    assert len(set(crosssplit.lookup_keys(some, starts, t)[1])) == 2000
