@@ -378,3 +378,45 @@ def test_driver_contract(spark):
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and all(f"p{n}_found" in q for n in (1,)) and e.entry(spark).count() > 0
+
+
+def test_summed_products_give_the_same_svd(spark, monkeypatch):
+    from quillstone.session import materialize
+
+    rng = np.random.default_rng(1)
+    n, high = 700, 300  # more terms than a slice has, and several units
+    rows = [(i, sorted(rng.choice(n, 12, replace=False).tolist()), rng.random(12).astype(np.float32).tolist(), 1 + i % 3) for i in range(900)]
+    t = materialize(spark.createDataFrame(rows, "doc_id long, idx array<int>, val array<float>, copies long"), "svd-rows")
+    vocab = spark.createDataFrame([(f"t{i:03d}",) for i in range(n)], "term string")
+    x = np.zeros((900, n))
+    for i, idx, val, copies in rows:
+        x[i, idx] = np.array(val) * np.sqrt(copies)
+    monkeypatch.setattr(L, "CELLS", high * n)
+    monkeypatch.setattr(L, "PAIRS", 1000)
+    products = {r["slice"]: r for r in L._products(t, n).collect()}
+    assert sorted(products) == [0, 1, 2]
+    for i, r in products.items():
+        want = (x.T @ x)[i * L.SLICE : (i + 1) * L.SLICE]
+        part = np.zeros(want.size, np.float32)
+        part[np.unpackbits(np.frombuffer(r["some"], np.uint8), count=want.size).view(bool)] = np.frombuffer(r["val"], np.float32)
+        assert np.allclose(part.reshape(want.shape), want, atol=1e-5)
+    got = []
+    for pays in (True, False):
+        monkeypatch.setattr(L, "_summed_pays", lambda *a, pays=pays: pays)
+        got.append(L.TruncatedSVD.fit(t, 5, vocab, iterations=1).singular)
+    assert np.allclose(*got, rtol=1e-5)
+    # many documents for their terms are passed over once, few are not
+    monkeypatch.undo()
+    assert L._summed_pays(20_000, 26_000_000, 420_000_000, 7, 522) and not L._summed_pays(90_000, 100_000, 1_000_000, 7, 522)
+
+
+def test_documents_of_the_same_words_are_compared_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"wort{'abcdefg'[i % 7]} haus{'xyz'[i % 3]} tor") for i in range(210)], "id long, text string")
+    asked = spark.createDataFrame([("q2", "tor hausx worta"), ("q1", "worta hausx tor"), ("q3", "hausy")], "q string, text string")
+    compared = []
+    real = L.topk
+    monkeypatch.setattr(L, "topk", lambda q, c, k: compared.append((q.count(), c.count())) or real(q, c, k))
+    got = {(r["query_id"], r["rank"]): r["unit_id"] for r in L.answers(asked, "q", "text", docs, "id", "text", 4, dim=50).collect()}
+    assert compared == [(2, 21)]
+    # 0, 21, 42 and 63 have the words of q1 and q2
+    assert all([got[q, r] for r in (1, 2, 3, 4)] == [0, 21, 42, 63] for q in ("q1", "q2")) and len(got) == 12
