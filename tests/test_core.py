@@ -420,3 +420,15 @@ def test_documents_of_the_same_words_are_compared_once(spark, monkeypatch):
     assert compared == [(2, 21)]
     # 0, 21, 42 and 63 have the words of q1 and q2
     assert all([got[q, r] for r in (1, 2, 3, 4)] == [0, 21, 42, 63] for q in ("q1", "q2")) and len(got) == 12
+
+
+def test_passages_of_the_same_words_are_compared_once(spark, tmp_path, monkeypatch):
+    from quillstone.plans.adapter_queries import h6_index
+
+    spark.createDataFrame([(i, f"wort{'abc'[i % 3]} tor") for i in range(30)], "sentence_id long, sentence string").write.parquet(f"{tmp_path}/ris_sentences.parquet")
+    spark.createDataFrame([("q1", "worta"), ("q2", "Worta")], "query_id string, query_text string").write.parquet(f"{tmp_path}/test.parquet")
+    compared = []
+    real = L.topk
+    monkeypatch.setattr(L, "topk", lambda q, c, k: compared.append((q.count(), c.count(), c.schema["emb"].dataType.simpleString())) or real(q, c, k))
+    got = {(r["query_id"], r["rank"]): r["unit_id"] for r in h6_index(spark, str(tmp_path)).collect()}
+    assert compared == [(1, 3, "array<float>")] and got == {(q, r): 3 * (r - 1) for q in ("q1", "q2") for r in (1, 2, 3)}
